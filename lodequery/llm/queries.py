@@ -28,3 +28,9 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import simple8b
 
     return simple8b.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json", "word", 1)
+
+
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json", "byte", 0)
