@@ -34,3 +34,9 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json", "byte", 0)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, radius=2)
