@@ -40,3 +40,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, radius=2)
+
+
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import weighted_sampling
+
+    return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -1,0 +1,108 @@
+import hashlib
+import math
+import random
+import struct
+from collections import Counter
+
+import pytest
+import xxhash
+
+from lodequery.llm import queries, weighted_sampling
+from tests.conftest import SF
+
+
+def chain(first: bytes, *more: int) -> int:
+    h = xxhash.xxh64_intdigest(first, 42)
+    for x in more:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+    return h
+
+
+def words(text):
+    for c in "\n\t\r\x0b\x0c":
+        text = text.replace(c, " ")
+    return Counter(w for w in text.split(" ") if w)
+
+
+def samples(text):
+    out, terms = [], [(xxhash.xxh64_intdigest(w.encode(), 42), n) for w, n in words(text).items()]
+    u = lambda bits, n: ((bits & ((1 << n) - 1)) + 0.5) / (1 << n)
+    for k in range(weighted_sampling.SAMPLES):
+        step, j = divmod(k, weighted_sampling.STEP)
+        found = []
+        for h, n in terms:
+            raw = struct.pack("<Q", h)
+            x, y = chain(raw, step, 2 * j), chain(raw, step, 2 * j + 1)
+            r, b, c = -math.log(u(x, 16) * u(x >> 16, 16)), u(x >> 32, 32), -math.log(u(y, 32) * u(y >> 32, 32))
+            found.append(math.log(c) - r * (math.floor(math.log(n) / r + b) - b + 1))
+        out.append(min(found, default=None))
+    return out
+
+
+def like(a, b):
+    return sum(x == y or (x is not None and y is not None and abs(x - y) < 1e-9) for x, y in zip(a, b, strict=True)) / len(a)
+
+
+def brute(rows):
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    out = []
+    for k, (d, t) in enumerate(rows):
+        ahead = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + ahead[:cut]
+        s = samples(t)
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), like(s, samples(edited)), like(s, samples(ahead))))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in df.collect()), key=repr)
+
+
+def test_op9_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = queries.op9_weighted_sampling(spark, SF)
+    assert got(df) == brute(docs)
+    prints = {}
+    for r in df.collect():
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == 4 * weighted_sampling.SAMPLES
+        prints.setdefault(r.doc_id, r.fingerprint)
+    by_text = {}
+    for d, t in docs:
+        assert by_text.setdefault(t, prints[d]) == prints[d]
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "only one here")],
+    [(1, None), (2, ""), (2, ""), (3, "a b c d e f"), (None, "no id"), (None, None), (7, "\n\t \r"), (-5, "ä ö " * 3000), (9, "a b c d e f"), (9, "zz")],
+    [(i * i, f"word{i % 3} and {i}") for i in range(90)],
+])
+def test_op9_cases(spark, rows):
+    df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, bucket int, pos string").repartition(3)
+    assert got(weighted_sampling.fingerprint_edits(df, "doc_id", "text")) == brute(rows)
+
+
+def test_op9_empty_table(spark):
+    assert weighted_sampling.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").collect() == []
+
+
+def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
+    r = random.Random(4)
+    texts = []
+    for share in (0.2, 0.5, 0.8):
+        for _ in range(12):
+            a = r.choices([f"w{i}" for i in range(60)], k=150)
+            b = a[: int(150 * share)] + r.choices([f"v{i}" for i in range(60)], k=150 - int(150 * share))
+            texts.append((a, b))
+    rows = [(2 * i + j, " ".join(t)) for i, pair in enumerate(texts) for j, t in enumerate(pair)]
+    found = {x.doc_id: x.near_next for x in weighted_sampling.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    off = []
+    for i, (a, b) in enumerate(texts):
+        x, y = Counter(a), Counter(b)
+        off.append(found[2 * i + 1] - sum((x & y).values()) / sum((x | y).values()))
+    assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.25
+
+
+def test_no_python_and_one_exchange_of_texts(spark):
+    plan = queries.op9_weighted_sampling(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
