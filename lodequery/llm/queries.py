@@ -46,3 +46,15 @@ def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import weighted_sampling
 
     return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+
+
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import quality_rank
+
+    return quality_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality")

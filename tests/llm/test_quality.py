@@ -1,0 +1,120 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodequery.llm import quality_rank, quality_rules, queries
+from lodequery.llm.labelled import labelled_counts
+from lodequery.llm.text_stats import NAMES, stats
+from tests.conftest import SF
+
+SF1 = "/root/testdata/sf0.01"
+
+
+def brute_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    twice = {x for x, n in Counter(windows).items() if n > 1}
+    inside = {i + j for i, x in enumerate(windows) if x in twice for j in range(5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
+
+
+ODD = [None, "", " \n\t", "a\n a\na", "x y z u v x y z u v", "é\x85ü\xa0b 　c", "a b c d e f a b c d f e", "# <b>|*$%& &", "a " * 5000, "one\x1ctwo\x0bthree\r\nfour"]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_counts_of_odd_texts(text):
+    assert stats(text)[:5] == brute_counts(text)
+
+
+def test_op6_counts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF1}/documents.parquet").collect()}
+    got = queries.op6_isolation_forest(spark, SF1).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_op6_parts_good_from_bad_on_held_out_labels(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF1}/labels.parquet").collect()}
+    rows = [r for r in queries.op6_isolation_forest(spark, SF1).collect() if r.doc_id in labels and fold(r.doc_id) and not r.base_failed]
+    good, bad = ([r.kept for r in rows if labels[r.doc_id] == q] for q in (1, 0))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
+
+
+def test_op5_on_held_out_labels(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF1}/labels.parquet").collect()}
+    got = queries.op5_bradley_terry(spark, SF1).collect()
+    assert all(r.held_out == fold(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    rows = [(r.predicted, r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert np.mean([p == q for p, _, q in rows]) > 0.95
+    good, bad = ([s for _, s, q in rows if q == k] for k in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.97
+
+
+def test_learnt_weights_have_no_slope_left():
+    r = np.random.default_rng(2)
+    better, worse = r.normal(0.4, 1, (500, 4)), r.normal(0, 1, (500, 4))
+    w = quality_rank.learn_preferences(better, worse)
+    d = better - worse
+    grad = -(d * quality_rank.sigmoid(-d @ w)[:, None]).mean(axis=0) + quality_rank.RIDGE * w
+    assert np.abs(grad).max() < 1e-6
+
+
+def test_forest_isolates_what_lies_apart():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 1, (500, 3)), [[9, 9, 9]]])
+    s = quality_rules.grow(x).scores(x)
+    assert s.argmax() == 500 and s[500] > 0.6 > np.median(s)
+
+
+def test_path_lengths_by_walking_each_tree():
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (60, 3))
+    f = quality_rules.grow(x)
+
+    def length(row, node):
+        s = f.statistic[node]
+        return f.length[node] if s < 0 else length(row, f.child[node] + (row[s] >= f.place[node]))
+
+    want = [2 ** (-np.mean([length(row, t) for t in f.roots]) / f.norm) for row in x]
+    assert np.allclose(f.scores(x), want)
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    rows = [(i, t, None, True) for i, t in enumerate(ODD)] + [(None, "no id here", 1.0, False), (3, "a\n a\na", 1.0, False)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score double, kept boolean")
+
+
+def test_cases_without_labels(spark, cases):
+    none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    judged = quality_rules.judge(cases, none, "doc_id", "text", "quality").collect()
+    assert len(judged) == len(ODD) + 2 and all(r.kept != r.base_failed for r in judged)
+    assert {(r.score, r.predicted) for r in quality_rank.score(cases, none, "doc_id", "text", "quality").collect()} == {(0.5, 1)}
+
+
+def test_cases_with_labels_and_empty_tables(spark, cases):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    for f in (quality_rules.judge, quality_rank.score):
+        assert f(cases, labels, "doc_id", "text", "quality", fit_on=docs).count() == len(ODD) + 2
+        assert f(cases.limit(0), labels, "doc_id", "text", "quality", fit_on=docs).collect() == []
+        assert f(cases, labels.limit(0), "doc_id", "text", "quality").count() == len(ODD) + 2
+
+
+def test_the_fit_is_bounded_and_keeps_to_its_folds(spark):
+    docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
+    counts, q = labelled_counts(docs, labels, "doc_id", "text", "quality", most=50)
+    assert counts.shape == (50, len(NAMES)) and set(q) <= {0, 1}
+    assert len(labelled_counts(docs, labels, "doc_id", "text", "quality")[1]) == sum(not fold(r.doc_id) for r in labels.collect())
