@@ -58,3 +58,9 @@ def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import quality_rank
 
     return quality_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+
+
+def op7_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import main_text
+
+    return main_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", ["url"])
