@@ -64,3 +64,16 @@ def op7_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import main_text
 
     return main_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", ["url"])
+
+
+#: Keys the surrogates; a secret of one's own in production.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "surrogates")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodequery.llm import pii
+
+    done = pii.replace_entities(table(spark, sf_dir, "documents"), "text", SURROGATE_KEY, ["doc_id"])
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join("entities.kind", " ").alias("kinds"))

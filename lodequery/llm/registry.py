@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from lodequery.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.op2_byte_bpe, q.op3_best_fit, q.op4_simhash, q.op5_bradley_terry, q.op6_isolation_forest, q.op7_minimum_cut, q.op9_weighted_sampling, q.op10_simple8b)}
+QUERIES = {f.__name__: f for f in (q.op2_byte_bpe, q.op3_best_fit, q.op4_simhash, q.op5_bradley_terry, q.op6_isolation_forest, q.op7_minimum_cut, q.op8_surrogates, q.op9_weighted_sampling, q.op10_simple8b)}
 
 #: SQL for the queries that it can express.
 ORACLE: dict[str, str] = {}
