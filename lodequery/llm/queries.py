@@ -77,3 +77,9 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = pii.replace_entities(table(spark, sf_dir, "documents"), "text", SURROGATE_KEY, ["doc_id"])
     return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join("entities.kind", " ").alias("kinds"))
+
+
+def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import warc
+
+    return warc.archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")

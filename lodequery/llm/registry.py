@@ -3,7 +3,20 @@ from __future__ import annotations
 
 from lodequery.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.op2_byte_bpe, q.op3_best_fit, q.op4_simhash, q.op5_bradley_terry, q.op6_isolation_forest, q.op7_minimum_cut, q.op8_surrogates, q.op9_weighted_sampling, q.op10_simple8b)}
+QUERIES = {f.__name__: f for f in (q.op1_warc_merge, q.op2_byte_bpe, q.op3_best_fit, q.op4_simhash, q.op5_bradley_terry, q.op6_isolation_forest, q.op7_minimum_cut, q.op8_surrogates, q.op9_weighted_sampling, q.op10_simple8b)}
 
 #: SQL for the queries that it can express.
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_warc_merge"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE strlen(html) >= 100 GROUP BY 1 HAVING count(*) > 1),
+u AS (SELECT *, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www[0-9]*[.])?([^/?#:]*)(?::([0-9]+))?([^?#]*)([?][^#]*)?', ['host', 'port', 'path', 'query']) AS parts FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, u.payload_digest,
+    CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to,
+    array_to_string(list_reverse(string_split(parts.host, '.')), ',') || CASE WHEN parts.port IN ('', '80', '443') THEN '' ELSE ':' || parts.port END
+        || ')' || CASE WHEN parts.path = '' THEN '/' ELSE parts.path END || parts.query AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS timestamp
+FROM u LEFT JOIN g USING (payload_digest)
+"""

@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_task_each(spark: SparkSession, items: list) -> DataFrame:
+    """A row with the place in ``items`` for each of them, each in a task of its own, in order."""
+    n = len(items)
+    return spark.range(0, n, 1, max(1, n))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of the named columns as Python values, a batch at a time."""
     for b in batches:

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lodequery.llm.shared import batched, filesystem, new_folder, small_batches
+from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, small_batches
 from lodequery.llm.token_ids import token_ids
 
 MAGIC = b"S8BLOCK1"
@@ -212,13 +212,12 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         for b in batches:
-            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, first in (rows[i] for i in b.column(0).to_pylist()):
                 with fs.open_input_file(f"{path}/{name}") as f:
                     docs = ((k, first + start, len(ids), ids.astype("<u4").tobytes()) for k, start, ids in Reader(f).documents())
                     yield from batched(docs, out)
 
-    listed = spark.createDataFrame(rows, StructType([StructField("file", StringType()), StructField("first", LongType())]))
-    return listed.repartition(max(1, len(rows))).mapInArrow(run, fields)
+    return one_task_each(spark, rows).mapInArrow(run, fields)
 
 
 def checksums(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
