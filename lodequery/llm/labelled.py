@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodequery.llm.shared import small_batches
-from lodequery.llm.text_stats import NAMES, stats
+from lodequery.llm.text_stats import NAMES, counts_of
 
 #: Labelled rows that a fit reads at most; those with the least hash of their id.
 MOST_LABELS = 20_000
@@ -29,7 +29,7 @@ def with_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.array([stats(t) for t in b.column(0).to_pylist()], np.int64).reshape(-1, len(NAMES))
+            counts = counts_of(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, counts.T)], [*cols, *NAMES])
 
     return df.select(text_col, *cols).mapInArrow(run, StructType(fields))

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodequery.llm.labelled import MOST_LABELS, held_out, labelled_counts, with_counts
-from lodequery.llm.text_stats import NAMES, features
+from lodequery.llm.shared import small_batches
+from lodequery.llm.text_stats import NAMES, counts_of, features
 
 PAIRS, RIDGE, STEPS, SEED = 60_000, 1e-3, 40, 11
 #: Standardised rates are cut here: one extreme document can't turn the fit.
@@ -94,9 +95,23 @@ def score(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.stack([b.column(n).to_numpy() for n in NAMES], axis=1) if b.num_rows else np.zeros((0, len(NAMES)), np.int64)
+            counts = np.stack([b.column(n).to_numpy() for n in NAMES], axis=1) if b.num_rows else counts_of([])
             s = np.full(len(counts), 0.5) if ranking is None else ranking.scores(counts)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*cols, "score", "predicted"])
 
     fields = [*(counted.schema[c] for c in cols), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
     return counted.mapInArrow(run, StructType(fields)).select(*cols, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+
+
+def drop_bad(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_on: DataFrame | None = None, most: int = MOST_LABELS) -> DataFrame:
+    """The rows of df that are predicted good, with all their columns."""
+    small_batches(df.sparkSession)
+    ranking = fit(*labelled_counts(df if fit_on is None else fit_on, labels, id_col, text_col, label_col, most))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = counts_of(b.column(at).to_pylist())
+            yield b if ranking is None else b.filter(pa.array(ranking.scores(counts) >= 0.5))
+
+    return df.mapInArrow(run, df.schema)

@@ -83,18 +83,18 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
 
 
 def table_rows(nodes: DataFrame, lanes: list, radius: int, width: int = 64) -> DataFrame:
-    """nodes with ``t`` and ``key`` for each table of each lane (a long column)."""
+    """``node`` with ``t`` and ``key`` for each table of each lane (a long column)."""
     found = masks(radius, width)
     rows = [F.struct(F.lit(i * len(found) + j).alias("t"), lane.bitwiseAND(F.lit(signed(m))).alias("key")) for i, lane in enumerate(lanes) for j, m in enumerate(found)]
-    return nodes.withColumn("_row", F.explode(F.array(*rows))).select("*", "_row.t", "_row.key").drop("_row")
+    return nodes.select("node", F.explode(F.array(*rows)).alias("_row")).select("node", "_row.t", "_row.key")
 
 
-def links(rows: DataFrame, node: str, fp: list[str], most: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges ``a``, ``b`` between nodes of one bucket (t, key) whose fingerprints (long columns) differ in at most ``most`` bits.
+def links(rows: DataFrame, prints: DataFrame, fp: list[str], most: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``a``, ``b`` between nodes of one bucket (t, key) whose fingerprints differ in at most ``most`` bits.
 
+    rows: node, t and key; prints: each node's fingerprint in long columns fp, read only for nodes that share a bucket.
     Not all edges, but enough for the same components within each bucket.
     """
-    rows = rows.select("t", "key", F.col(node).alias("node"), *fp)
     small_batches(rows.sparkSession)
     shared = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (
@@ -103,7 +103,8 @@ def links(rows: DataFrame, node: str, fp: list[str], most: int, chunk: int = CHU
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .withColumn("group", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")))
-        .select("group", "node", *fp)
+        .select("group", "node")
+        .join(prints.select("node", *fp), "node")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +167,77 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, radiu
     """id_col, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that is reachable over links of at most ``radius`` bits."""
     found = written(fingerprints(df, id_col, text_col, k), "fingerprints")
     nodes = found.groupBy("fp").agg(F.min(id_col).alias("least"))
-    edges = links(table_rows(nodes.select("fp"), [F.col("fp")], radius), "fp", ["fp"], radius)
+    prints = nodes.select(F.col("fp").alias("node"), "fp")
+    edges = links(table_rows(prints, [F.col("fp")], radius), prints, ["fp"], radius)
     part = components(edges)
     of = written(nodes.join(part, nodes.fp == part.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "classes")
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
     return found.join(of.join(named, "component").select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies at a similarity of shingle sets. At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in ten,
+# which no small number of tables covers. So tables are made of lanes of a second fingerprint, that of the set of words, which
+# a few changed words leave nearly whole; and fingerprints of the shingles, of WIDE * 64 bits, decide.
+LANES, LANE_BITS, LANE_RADIUS, WIDE = 6, 40, 2, 8
+
+
+def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits that fingerprints of sets with this Jaccard similarity differ in on average, and a standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """n unsigned 64-bit hashes of each hash (the splitmix64 finaliser over an arithmetic sequence)."""
+    x = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_majority(h: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of 64 n bits of a set of hashes, as bits."""
+    ones = np.zeros(64 * n, np.int64)
+    for a in range(0, len(h), 255):  # as many ones as a byte can count
+        ones += np.unpackbits(_spread(h[a : a + 255], n).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * ones > len(h)
+
+
+def _longs(bits: np.ndarray, width: int = 64) -> list[int]:
+    rows = bits.reshape(-1, width)
+    return np.packbits(np.pad(rows, ((0, 0), (64 - width, 0))), axis=1).view(">i8").ravel().tolist()
+
+
+def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df with one row of each group of near copies: that with the smallest id, of equal ids any one.
+
+    Groups are the components of links between texts whose k-word shingle sets have a Jaccard similarity of about
+    ``similarity`` or more, as their fingerprints tell.
+    """
+    small_batches(df.sparkSession)
+    lanes, wide = [f"_lane{i}" for i in range(LANES)], [f"_wide{i}" for i in range(WIDE)]
+    fields = [*df.schema, *(StructField(c, LongType()) for c in ("_uid", *lanes, *wide))]
+    at, n_lane_hashes = df.columns.index(text_col), -(-LANES * LANE_BITS // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 33
+        for b in batches:
+            found = []
+            for t in b.column(at).to_pylist():
+                w = words(t)
+                of_words = wide_majority(hashes(list(set(w))), n_lane_hashes)[: LANES * LANE_BITS]
+                of_shingles = wide_majority(np.unique(hashes(shingles(w, k))), WIDE)
+                found.append((uid, *_longs(of_words, LANE_BITS), *_longs(of_shingles)))
+                uid += 1
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (1 + LANES + WIDE)
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[f.name for f in fields])
+
+    marked = written(df.mapInArrow(run, StructType(fields)).withColumn("_node", F.xxhash64(*lanes, *wide)), "marked")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_uid").alias("uid"))).alias("best")
+    nodes = marked.groupBy(F.col("_node").alias("node"), *lanes, *wide).agg(best)
+    edges = links(table_rows(nodes, [F.col(c) for c in lanes], LANE_RADIUS, LANE_BITS), nodes, wide, differing_bits(similarity))
+    of = nodes.select("node", "best").join(components(edges), "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
+    stay = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("_uid"))
+    return marked.join(stay, "_uid", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -56,6 +56,11 @@ def stats(text: str | None) -> tuple[int, ...]:
     )
 
 
+def counts_of(texts: list[str | None]) -> np.ndarray:
+    """A row of counts for each text."""
+    return np.array([stats(t) for t in texts], np.int64).reshape(-1, len(NAMES))
+
+
 def features(counts: np.ndarray) -> np.ndarray:
     """Rates of a length-free kind from rows of counts: float64, a column per FEATURES."""
     c = dict(zip(NAMES, counts.T.astype(np.float64), strict=True))

@@ -70,9 +70,9 @@ def test_chunks_of_a_large_bucket_find_the_same(spark):
     for _ in range(150):
         fps.append(fps[r.integers(len(fps))] ^ (1 << int(r.integers(24))) ^ (1 << int(r.integers(24))))
     fps = sorted({f | 1 << 40 for f in fps})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
     rows = simhash.table_rows(df, [df.fp], 2)
-    few, all_at_once = (sorted(map(tuple, components(simhash.links(rows, "fp", ["fp"], 2, chunk=c)).collect())) for c in (7, 2048))
+    few, all_at_once = (sorted(map(tuple, components(simhash.links(rows, df, ["fp"], 2, chunk=c)).collect())) for c in (7, 2048))
     assert few == all_at_once and len(few) > 100
 
 
@@ -82,3 +82,31 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 5 for i in range(5, 30)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def edited(base, n, r):
+    out = list(base)
+    for i in r.sample(range(len(base)), n):
+        out[i] = f"new{r.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_leave_one(spark):
+    r = random.Random(8)
+    rows, least = [], {}
+    for g in range(40):
+        base = [f"g{g}w{r.randrange(10**6)}" if r.random() < 0.6 else r.choice(["the", "of", "and", "in", "to"]) for _ in range(300)]
+        ids = [g * 10 + i for i in range(4)]
+        rows += [(ids[0], " ".join(base))] + [(i, edited(base, 4, r)) for i in ids[1:3]] + [(ids[3], edited(base, 120, r))]
+        least[g] = ids
+    rows += [(900, rows[0][1]), (None, rows[0][1]), (901, None), (902, ""), (903, "lone " * 20000), (903, "lone " * 20000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, node string").repartition(5)
+    got = simhash.drop_near_copies(df, "doc_id", "text")
+    ids = sorted(x.doc_id for x in got.collect())
+    kept = sum(ids.count(i[0]) for i in least.values())
+    near = sum(ids.count(i) for g in least.values() for i in g[1:3])
+    apart = sum(ids.count(g[3]) for g in least.values())
+    assert got.columns == df.columns and kept == 40 and near <= 4 and apart == 40
+    assert [i for i in ids if i >= 900] == [901, 903]
+    assert simhash.drop_near_copies(df.limit(0), "doc_id", "text").collect() == []
