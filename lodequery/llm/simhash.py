@@ -178,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, radiu
 # Near copies at a similarity of shingle sets. At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in ten,
 # which no small number of tables covers. So tables are made of lanes of a second fingerprint, that of the set of words, which
 # a few changed words leave nearly whole; and fingerprints of the shingles, of WIDE * 64 bits, decide.
-LANES, LANE_BITS, LANE_RADIUS, WIDE = 6, 40, 2, 8
+LANES, LANE_BITS, LANE_RADIUS, WIDE = 8, 40, 2, 8
 
 
 def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
