@@ -1,0 +1,92 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lodequery.llm import pii, quality_rank, quality_rules, simhash
+from lodequery.llm.labelled import labelled_counts
+from lodequery.llm.queries import SURROGATE_KEY, TOKENIZERS, table
+from lodequery.llm.shared import written
+from lodequery.llm.text_stats import counts_of
+from lodequery.llm.token_ids import token_ids
+from tests.conftest import SF
+from tests.llm.test_tokens import check_packing
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    out = [table(spark, SF, "documents")]
+    for name, f in corpus_pipeline.STAGES:
+        out.append(written(f(spark, out[-1], SF), name))
+    return out
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def fitted(spark):
+    return labelled_counts(table(spark, SF, "documents"), table(spark, SF, "labels"), "doc_id", "text", "quality")
+
+
+def test_all_but_the_last_return_documents(stages):
+    assert len(corpus_pipeline.STAGES) == 5
+    assert all(s.columns == stages[0].columns and s.dtypes == stages[0].dtypes for s in stages[:-1])
+    assert all(s.count() > 0 for s in stages)
+
+
+def test_rules_and_classifier_keep_what_the_models_keep_row_by_row(spark, stages):
+    forest, ranking = quality_rules.fit(*fitted(spark)), quality_rank.fit(*fitted(spark))
+    before = stages[0].collect()
+    assert rows(stages[1]) == sorted((tuple(r) for r in before if quality_rules.verdicts(counts_of([r.text]), forest)[2][0]), key=repr)
+    assert rows(stages[2]) == sorted((tuple(r) for r in stages[1].collect() if ranking.scores(counts_of([r.text]))[0] >= 0.5), key=repr)
+
+
+def test_good_documents_stay_and_bad_ones_go(spark, stages):
+    labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    texts = {r.doc_id: r.text for r in stages[0].collect()}
+    kept = {r.doc_id for r in stages[2].collect()}
+    good = [d in kept for d, q in labels.items() if q == 1 and not quality_rules.base_failed(counts_of([texts[d]]))[0]]
+    bad = [d in kept for d, q in labels.items() if q == 0]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.2
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_near_copies_against_all_pairs(stages):
+    sets = {r.doc_id: set(simhash.shingles(simhash.words(r.text), 5)) for r in stages[2].collect()}
+    kept = {r.doc_id for r in stages[3].collect()}
+    assert not [(a, b) for a, b in combinations(sorted(kept), 2) if jaccard(sets[a], sets[b]) > 0.87]
+    least = {d: d for d in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if jaccard(sets[a], sets[b]) > 0.6 and least[a] != least[b]:
+            low, high = sorted((least[a], least[b]))
+            least = {d: low if m == high else m for d, m in least.items()}
+    assert not [d for d in set(sets) - kept if least[d] == d]
+
+
+def test_surrogates_and_nothing_else(stages):
+    before = {r.doc_id: r for r in stages[3].collect()}
+    for r in stages[4].collect():
+        want, _ = pii.replaced(before[r.doc_id].text, SURROGATE_KEY.encode())
+        assert (r.text, r.lang, r.source, r.n_chars) == (want, before[r.doc_id].lang, before[r.doc_id].source, len(want))
+    assert stages[3].count() == stages[4].count()
+
+
+def test_packing_of_what_is_left(stages):
+    ids = token_ids(f"{TOKENIZERS}/byte_bpe_50k.json", "byte")
+    check_packing(stages[5].collect(), {r.doc_id: len(ids.encode(r.text)) // 4 + 1 for r in stages[4].collect()}, 2048)
+
+
+def test_stages_take_odd_rows(spark):
+    good = " ".join(f"word{i} of" for i in range(40)) + ". And so it ends, here."
+    rows = [(None, good, None, None, None, 1), (1, None, "en", "s", None, 2), (2, "", "en", "s", 0, 3), (3, good + " x", "en", "s", 9, 4), (3, good + " x", "en", "s", 9, 4), (4, "é ü " * 30000, "en", "s", 1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int")
+    for d in (df, df.limit(0)):
+        for name, f in corpus_pipeline.STAGES:
+            got = f(spark, d, SF)
+            assert got.count() <= d.count() or name == "packing"
+            assert name == "packing" or got.columns == df.columns
