@@ -75,7 +75,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _opened(tag: str, raw: str, parent: Node | None) -> Node:
     attrs = _attributes(raw)
-    words = {w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _WORD.findall(attrs.get(k, ""))}
+    words = set() if tag in ("html", "body") else {w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _WORD.findall(attrs.get(k, ""))}
     article = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
     inside = parent is not None and parent.in_article
     odds = parent.odds if parent else 0.0
@@ -83,7 +83,7 @@ def _opened(tag: str, raw: str, parent: Node | None) -> Node:
         odds = min(odds, 0.0) - 5.0
     elif article:
         odds += 3.0
-    elif words & HERE_WORDS and tag != "body":
+    elif words & HERE_WORDS:
         odds += 1.0
     hidden = parent is not None and parent.hidden or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
     return Node(tag, odds, hidden, parent.depth + 1 if parent else 0, parent, inside or article)

@@ -27,6 +27,10 @@ def test_without_article_element():
     assert main_text.main_text(page) == "\n".join(["Head", LONG.strip(), "Tiny.", LONG.strip()])
 
 
+def test_class_words_of_the_whole_page_say_nothing():
+    assert main_text.main_text(f'<body class="with-sidebar"><p>{LONG}</p></body>') == LONG.strip()
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("<p", ""), ("<script>never closed", ""), ("<!-- open", ""),
     (f"<article><p>{LONG}</p><p>cut <b", f"{LONG.strip()}\ncut"), (f"<article><p>{LONG}<a href=\"x", LONG.strip()),
