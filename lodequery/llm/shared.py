@@ -1,6 +1,7 @@
 """Folders that the driver and all executors see, files in them, and the Arrow plumbing of the operators."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,12 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+#: Folders of sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir, with its file system; a new local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="shared-")
+        _own[app] = root
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as Spark itself reads it: without a scheme, on the cluster's default file system."""
+    if "://" not in root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return root.rstrip("/")
 
 
@@ -35,8 +49,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or plain path, and the path in it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system of a URI, of a kind that pyarrow.fs opens, and the path in it."""
+    uri = re.sub("^file:/(?!/)", "file:///", uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,0 +1,57 @@
+import pyarrow as pa
+import pytest
+
+from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, qualified, rows_of, shared_root, small_batches, written
+
+
+@pytest.mark.parametrize("uri", ["file:/tmp/x", "file:///tmp/x"])
+def test_local_uris(uri):
+    assert filesystem(uri)[1] == "/tmp/x"
+
+
+def test_the_sessions_folder_is_used(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert shared_root(spark) == root and new_folder(spark, "a") != new_folder(spark, "a") and new_folder(spark, "a").startswith(root)
+    df = written(spark.range(3), "t")
+    assert df.count() == 3 and all(f.startswith(root) for f in df.inputFiles())
+
+
+class Unset:
+    """A session whose configuration names no folder."""
+
+    def __init__(self, spark):
+        self.sparkContext, self._jvm, self._jsc, self.conf = spark.sparkContext, spark._jvm, spark._jsc, self
+
+    def get(self, key, default):
+        return default
+
+
+def test_a_session_without_a_folder_gets_one_of_its_own(spark):
+    first = shared_root(Unset(spark))
+    assert first == shared_root(Unset(spark)) and first.startswith("file:/") and qualified(spark, "/a/b") == "file:/a/b"
+
+
+def test_batches_are_bounded():
+    schema = pa.schema([("k", pa.int64()), ("t", pa.string())])
+    rows = [(i, "x" * 10) for i in range(25)]
+    found = list(batched(iter(rows), schema, max_rows=10))
+    assert [b.num_rows for b in found] == [10, 10, 5] and list(rows_of(iter(found), "k", "t")) == rows
+    assert [b.num_rows for b in batched(iter(rows), schema, max_bytes=40)] == [4] * 6 + [1]
+    assert list(batched(iter([]), schema)) == []
+
+
+def test_arrow_batches_are_only_made_smaller(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "1000"), ("10", "10")):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_one_task_each(spark):
+    df = one_task_each(spark, ["a", "b", "c"])
+    assert df.rdd.glom().map(len).collect() == [1, 1, 1] and one_task_each(spark, []).count() == 0
