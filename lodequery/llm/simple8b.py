@@ -39,15 +39,16 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes), both unsigned 64-bit, of unsigned 64-bit ids. At each id the packing that takes most is chosen."""
     n = len(ids)
     padded = np.concatenate([ids.astype(np.uint64), np.zeros(COUNT[0], np.uint64)])
-    bits = np.zeros(n, np.int64)
+    bits = np.zeros(len(padded), np.int8)
     for width in WIDTH[:-1]:
-        bits += padded[:n] >= (np.uint64(1) << np.uint64(width))  # how many of the widths are too small
-    choice = np.full(n, ESCAPE, np.int64)
-    where = np.arange(n)
+        bits += padded >= (np.uint64(1) << np.uint64(width))  # how many of the widths are too small
+    choice = np.full(len(padded), ESCAPE, np.int8)
     for s in range(ESCAPE - 1, -1, -1):
-        if (bits <= s).any():
-            wide = np.where(bits > s, where, n + COUNT[0])
-            choice[np.minimum.accumulate(wide[::-1])[::-1] - where >= COUNT[s]] = s
+        small, others = np.flatnonzero(bits <= s), int(COUNT[s]) - 1
+        if len(small) > others:
+            # COUNT[s] small ids in a row: the one that many places on in the list is that many places on in the block.
+            choice[small[: len(small) - others][small[others:] - small[: len(small) - others] == others]] = s
+    choice = choice[:n].astype(np.int64)
     steps, at, starts = COUNT[choice].tolist(), 0, []
     while at < n:
         starts.append(at)
