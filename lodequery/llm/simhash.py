@@ -18,6 +18,7 @@ unless there is no other in it (then null); repeated rows are kept; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +90,11 @@ def table_rows(nodes: DataFrame, lanes: list, radius: int, width: int = 64) -> D
     return nodes.select("node", F.explode(F.array(*rows)).alias("_row")).select("node", "_row.t", "_row.key")
 
 
-def links(rows: DataFrame, prints: DataFrame, fp: list[str], most: int, chunk: int = CHUNK) -> DataFrame:
+def links(rows: DataFrame, prints: DataFrame, fp: list[str], most: int, chunk: int = CHUNK, nearest_first: tuple[int, ...] = ()) -> DataFrame:
     """Edges ``a``, ``b`` between nodes of one bucket (t, key) whose fingerprints differ in at most ``most`` bits.
 
     rows: node, t and key; prints: each node's fingerprint in long columns fp, read only for nodes that share a bucket.
-    Not all edges, but enough for the same components within each bucket.
+    Not all edges, but enough for the same components within each bucket; those within lower limits nearest_first go before others.
     """
     small_batches(rows.sparkSession)
     shared = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -113,10 +114,10 @@ def links(rows: DataFrame, prints: DataFrame, fp: list[str], most: int, chunk: i
             rows = _arrays(b, fp)
             rows = rows if left is None else [np.concatenate(p) for p in zip(left, rows, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            yield _linked([r[:cut] for r in rows], most)
+            yield _linked([r[:cut] for r in rows], (*nearest_first, most))
             left = [r[cut:] for r in rows]
         if left is not None:
-            yield _linked(left, most)
+            yield _linked(left, (*nearest_first, most))
 
     together = dealt.repartition("group").sortWithinPartitions("group", "node")
     return together.mapInArrow(run, "a long, b long")
@@ -127,33 +128,34 @@ def _arrays(b: pa.RecordBatch, fp: list[str]) -> list[np.ndarray]:
     return [b.column("group").to_numpy(zero_copy_only=False), b.column("node").to_numpy(zero_copy_only=False), bits]
 
 
-def _linked(rows: list[np.ndarray], most: int) -> pa.RecordBatch:
+def _linked(rows: list[np.ndarray], limits: tuple[int, ...]) -> pa.RecordBatch:
     """A forest of the links within each run of equal groups; rows are in the order of groups."""
     group, node, bits = rows
     parent = np.arange(len(group))
     a_out, b_out = [], []
-    here = np.arange(len(group))
-    shift = 0
-    while True:
-        shift += 1
-        here = here[here + shift < len(group)]
-        here = here[group[here] == group[here + shift]]
-        if not len(here):
-            break
-        a, b = here, here + shift
-        apart = parent[a] != parent[b]
-        a, b = a[apart], b[apart]
-        near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
-        merged = False
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            p, q = _root(parent, x), _root(parent, y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                a_out.append(x)
-                b_out.append(y)
-                merged = True
-        while merged and (parent != parent[parent]).any():
-            parent = parent[parent]
+    for limit in limits:
+        here = np.arange(len(group))
+        shift = 0
+        while True:
+            shift += 1
+            here = here[here + shift < len(group)]
+            here = here[group[here] == group[here + shift]]
+            if not len(here):
+                break
+            a, b = here, here + shift
+            apart = parent[a] != parent[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= limit
+            merged = False
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                p, q = _root(parent, x), _root(parent, y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a_out.append(x)
+                    b_out.append(y)
+                    merged = True
+            while merged and (parent != parent[parent]).any():
+                parent = parent[parent]
     return pa.RecordBatch.from_arrays([pa.array(node[a_out] if a_out else [], pa.int64()), pa.array(node[b_out] if b_out else [], pa.int64())], ["a", "b"])
 
 
@@ -175,10 +177,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, radiu
     return found.join(of.join(named, "component").select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies at a similarity of shingle sets. At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in ten,
-# which no small number of tables covers. So tables are made of lanes of a second fingerprint, that of the set of words, which
-# a few changed words leave nearly whole; and fingerprints of the shingles, of WIDE * 64 bits, decide.
+# Near copies at a similarity of shingle sets, in two passes. At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in ten,
+# which no small number of tables covers. So SimHash is a first pass: its tables are made of lanes of a second fingerprint, that of the set of
+# words, which a few changed words leave nearly whole, and fingerprints of the shingles, of WIDE * 64 bits, choose the links to look at. A second
+# pass finds every pair that the first one left apart (see _prefixes). What counts in both is the similarity of the shingle sets themselves.
 LANES, LANE_BITS, LANE_RADIUS, WIDE = 8, 40, 2, 8
+#: Texts, and shingles of each, that tell which shingles are common: the order of shingles, never the result, depends on them.
+SAMPLE_TEXTS, SAMPLE_SHINGLES = 20_000, 1_000
+#: Pairs held before those of equal nodes are added up.
+_PAIRS_AT_ONCE = 1 << 18
 
 
 def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
@@ -208,15 +215,157 @@ def _longs(bits: np.ndarray, width: int = 64) -> list[int]:
     return np.packbits(np.pad(rows, ((0, 0), (64 - width, 0))), axis=1).view(">i8").ravel().tolist()
 
 
+def _set_of(text: str | None, k: int) -> np.ndarray:
+    """The sorted hashes of the set of shingles."""
+    return np.unique(hashes(shingles(words(text), k)))
+
+
+def _common(texts: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of shingles that more than one distinct text of a sample has, and the numbers of texts."""
+    n = texts.count()
+    some = texts.select(text_col)
+    if n > SAMPLE_TEXTS:
+        some = some.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < (SAMPLE_TEXTS << 20) // n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, found = set(), [np.zeros(0, np.uint64)]
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t not in seen:
+                    seen.add(t)
+                    found.append(np.unique(hashes(shingles(words(t)[: SAMPLE_SHINGLES + k - 1], k))))
+        h, times = np.unique(np.concatenate(found), return_counts=True)
+        h, times = h[times > 1], times[times > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()]), pa.array([times.astype(np.int64).tobytes()])], ["h", "times"])
+
+    got = some.distinct().repartition(1).mapInArrow(run, "h binary, times binary").collect()
+    h, times = (b"".join(bytes(r[c]) for r in got) for c in ("h", "times"))
+    return np.frombuffer(h, np.uint64), np.frombuffer(times, np.int64)
+
+
+def _prefixes(texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataFrame:
+    """``_uid``, ``size`` of the text's shingle set and ``prefix``: its rarest shingles.
+
+    Shingles are put into one order, rare ones first (by the sample, then by hash). Two sets of n and m shingles and a similarity of t or more
+    share at least t / (1 + t) * (n + m). So they can't do without a common one among the first n - ceil(t n) + 1 of the one and the first
+    m - ceil(t m) + 1 of the other: pairs that meet in no prefix are below t, and no pair at t or above is missed.
+    """
+    known, times = _common(texts, text_col, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found = [], []
+            for t in b.column(1).to_pylist():
+                h = _set_of(t, k)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                often = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                sizes.append(len(h))
+                found.append(h[np.lexsort((h, often))[: _first(len(h), limit)]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_uid", "size", "prefix"])
+
+    return texts.select("_uid", text_col).mapInArrow(run, "_uid long, size long, prefix array<long>")
+
+
+def _first(n, limit: Fraction):
+    """Shingles in the prefix of a set of n."""
+    return n - -(-limit.numerator * n // limit.denominator) + (n > 0)
+
+
+def _pairs(rows: DataFrame, limit: Fraction) -> DataFrame:
+    """Pairs a, b of nodes that may have at least this similarity, each once; rows: shingle, node, component and size, a row for each shingle of a prefix.
+
+    Left out, as below the limit for sure: sizes too far apart, and fewer common shingles in the prefixes than make up for all of the
+    shingles behind one of them. Nodes of one component need no pair.
+    """
+    p, q = limit.numerator, limit.denominator
+
+    def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, node, component, size = rows
+        here, shift = np.arange(len(node)), 0
+        held: list[np.ndarray] = []
+        while len(here):
+            shift += 1
+            here = here[here + shift < len(node)]
+            # In order of size within a shingle: who is too small for one is too small for all that follow.
+            here = here[(shingle[here] == shingle[here + shift]) & (q * size[here] >= p * size[here + shift])]
+            x, y = here, here + shift
+            apart = component[x] != component[y]
+            x, y = x[apart], y[apart]
+            need = -(-p * (size[x] + size[y]) // (p + q)) - np.maximum(size[x] - _first(size[x], limit), size[y] - _first(size[y], limit))
+            held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need], axis=1))
+            if sum(map(len, held)) > _PAIRS_AT_ONCE:
+                yield summed(held)
+                held = []
+        if held:
+            yield summed(held)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        abn, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(abn[:, i], pa.int64()) for i in range(3)), pa.array(n, pa.int64())], ["a", "b", "need", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            yield from met([r[:cut] for r in rows])
+            left = [r[cut:] for r in rows]
+        if left is not None:
+            yield from met(left)
+
+    together = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "node", F.coalesce("component", "node").alias("component"), "size")
+    return together.mapInArrow(run, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+
+
+def _with_hubs(prefixes: DataFrame, found: DataFrame, limit: Fraction) -> DataFrame:
+    """Pairs a, b of a node and the one of most links so far, of more than one, that has a shingle of its prefix.
+
+    Copies of one text may be near to it and not to each other. These pairs, one for each shingle of a prefix at most, join such groups
+    before _pairs looks at all pairs of different components.
+    """
+    p, q = limit.numerator, limit.denominator
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).filter("degree > 1")
+    each = prefixes.select("node", "size", F.explode("prefix").alias("shingle"))
+    hubs = prefixes.join(ends, "node").select(F.explode("prefix").alias("shingle"), F.struct("degree", "node", "size").alias("hub"))
+    hubs = written(hubs.groupBy("shingle").agg(F.max("hub").alias("hub")).select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("of")), "hubs")
+    met = each.join(hubs, "shingle").filter(f"node != hub and least(size, of) * {q} >= greatest(size, of) * {p}")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataFrame:
+    """Those of the pairs a, b whose shingle sets have at least this Jaccard similarity. Only texts of nodes in pairs are moved."""
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(wanted.join(nodes, "node").select("node", F.col("best.uid").alias("_uid")), "wanted")
+    moved = written(texts.select("_uid", F.col(f"`{text_col}`").alias("t")).join(wanted, "_uid").select("node", "t"), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s = None, set()
+        for b in batches:
+            near = []
+            for a, t, u in zip(*(b.column(c).to_pylist() for c in ("a", "t", "u")), strict=True):
+                if a != last:
+                    last, s = a, set(shingles(words(t), k))
+                other = set(shingles(words(u), k))
+                both = len(s & other)
+                near.append(both * limit.denominator >= limit.numerator * (len(s) + len(other) - both))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    first, second = moved.select(F.col("node").alias("a"), "t"), moved.select(F.col("node").alias("b"), F.col("t").alias("u"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long")
+
+
 def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df with one row of each group of near copies: that with the smallest id, of equal ids any one.
 
-    Groups are the components of links between texts whose k-word shingle sets have a Jaccard similarity of about
-    ``similarity`` or more, as their fingerprints tell.
+    Groups are the components of links between texts whose k-word shingle sets have a Jaccard similarity of ``similarity`` or more: all
+    such links count, and no others. Texts without shingles are one group.
     """
     small_batches(df.sparkSession)
+    limit = Fraction(str(similarity))
     lanes, wide = [f"_lane{i}" for i in range(LANES)], [f"_wide{i}" for i in range(WIDE)]
-    fields = [*df.schema, *(StructField(c, LongType()) for c in ("_uid", *lanes, *wide))]
+    fields = [*df.schema, *(StructField(c, LongType()) for c in ("_uid", "_node", *lanes, *wide))]
     at, n_lane_hashes = df.columns.index(text_col), -(-LANES * LANE_BITS // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,17 +376,26 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, simi
             found = []
             for t in b.column(at).to_pylist():
                 w = words(t)
+                h = np.unique(hashes(shingles(w, k)))
+                # Of equal shingle sets the words are equal too, and so are the lanes.
                 of_words = wide_majority(hashes(list(set(w))), n_lane_hashes)[: LANES * LANE_BITS]
-                of_shingles = wide_majority(np.unique(hashes(shingles(w, k))), WIDE)
-                found.append((uid, *_longs(of_words, LANE_BITS), *_longs(of_shingles)))
+                found.append((uid, signed(xxhash.xxh3_64_intdigest(h.tobytes(), SEED)), *_longs(of_words, LANE_BITS), *_longs(wide_majority(h, WIDE))))
                 uid += 1
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (1 + LANES + WIDE)
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (2 + LANES + WIDE)
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[f.name for f in fields])
 
-    marked = written(df.mapInArrow(run, StructType(fields)).withColumn("_node", F.xxhash64(*lanes, *wide)), "marked")
+    marked = written(df.mapInArrow(run, StructType(fields)), "marked")
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_uid").alias("uid"))).alias("best")
-    nodes = marked.groupBy(F.col("_node").alias("node"), *lanes, *wide).agg(best)
-    edges = links(table_rows(nodes, [F.col(c) for c in lanes], LANE_RADIUS, LANE_BITS), nodes, wide, differing_bits(similarity))
-    of = nodes.select("node", "best").join(components(edges), "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
+    nodes = written(marked.groupBy(F.col("_node").alias("node"), *lanes, *wide).agg(best), "nodes")
+    most = differing_bits(similarity)
+    first = links(table_rows(nodes, [F.col(c) for c in lanes], LANE_RADIUS, LANE_BITS), nodes, wide, most, nearest_first=(most * 7 // 10, most * 8 // 10, most * 9 // 10))
+    first = written(_similar(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, marked, text_col, k, limit), "links")
+    so_far = nodes.select("node", F.col("best.uid").alias("_uid"))
+    prefixes = written(_prefixes(marked, text_col, k, limit).join(so_far, "_uid").select("node", "size", "prefix"), "prefixes")
+    found = written(first.unionByName(_similar(_with_hubs(prefixes, first, limit), nodes, marked, text_col, k, limit)), "links")
+    # A node alone is its own component, named only after the shuffle.
+    rows = prefixes.join(components(found), "node", "left").select(F.explode("prefix").alias("shingle"), "node", "component", "size")
+    second = _similar(_pairs(rows, limit), nodes, marked, text_col, k, limit)
+    of = nodes.select("node", "best").join(components(found.unionByName(second)), "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     stay = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("_uid"))
     return marked.join(stay, "_uid", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
