@@ -3,10 +3,12 @@ from itertools import combinations
 
 import pytest
 
+import corpus_pipeline
 from lodequery.llm import simhash
+from tests.conftest import SF
 
 
-def least_of_components(sets, limit=0.8):
+def least_of_components(sets):
     part = {d: d for d in sets}
     for a, b in combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
@@ -59,3 +61,9 @@ def test_limit_itself_and_shared_passages(spark):
     texts += ["", " \t", "lone", "lone", "a b c d e", "a b c d e f"]
     got, want = kept_and_wanted(spark, texts)
     assert got == want and 0 in got and 1 not in got
+
+
+def test_stage_against_exact_components(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect())
+    assert got == least_of_components({r.doc_id: set(simhash.shingles(simhash.words(r.text), 5)) for r in docs.collect()})
