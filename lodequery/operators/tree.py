@@ -1,20 +1,49 @@
 """Element selection in HTML text by tag, attribute, text and position.
 
 Web pages are rarely well-formed XML, so the built-in xpath functions fail on them; the standard
-library's tolerant parser runs over Arrow batches instead, one document at a time.
+library's tolerant parser runs over Arrow batches instead, one document at a time. Elements that HTML lets stand
+without an end tag (paragraphs, list items, table cells, options) end where a browser ends them: at the start of
+what can't be inside them, or with the element around them. An end tag without an open element is ignored, and unclosed
+inline elements (b, a) aren't opened again in the next block.
+
+An element's text is a range of the document's text nodes and is joined for matches only, so the time is linear in the page
+and in the text that is returned.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements that have no content and so no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose start ends an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split()
+)
+#: Elements through which nothing outside is closed.
+SCOPE = frozenset("applet button caption html marquee object table td template th".split())
+_CELLS, _ROWS, _GROUPS = ("td", "th"), ("tr",), ("tbody", "thead", "tfoot", "caption", "colgroup")
+#: For a start tag, the open elements that it ends and those through which it doesn't reach.
+ENDS = {
+    "li": (("li",), SCOPE | {"ul", "ol", "menu"}),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), SCOPE | {"dl"})),
+    **dict.fromkeys(_CELLS, (_CELLS, frozenset(("table", "template")))),
+    "tr": (_ROWS + _CELLS + ("caption", "colgroup"), frozenset(("table", "template"))),
+    **dict.fromkeys(_GROUPS, (_GROUPS + _ROWS + _CELLS, frozenset(("table", "template")))),
+    "option": (("option",), frozenset(("select", "datalist"))),
+    "optgroup": (("option", "optgroup"), frozenset(("select",))),
+    "body": (("head",), frozenset()),
+}
+_OF_TABLES = frozenset(("table", "template", "caption", "colgroup", *_CELLS, *_ROWS, *_GROUPS))
 _SPACE = re.compile(r"[ \t\r\n]+")
 
 
@@ -24,35 +53,71 @@ def squeeze(text: str) -> str:
 
 @dataclass
 class Element:
+    """A tag, its attributes, its own text nodes, and the range of the document's text nodes that lies in it."""
+
     tag: str
     attrs: dict[str, str]
+    first: int
+    last: int = -1
     own: list[str] = field(default_factory=list)
-    full: list[str] = field(default_factory=list)
 
 
 class _Collector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
+        self.data: list[str] = []
         self._open: list[Element] = []
+        self._at: dict[str, list[int]] = defaultdict(list)  # places of open elements by tag
+        self._running = False  # whether the last thing seen was text
+
+    def _close_from(self, i: int) -> None:
+        while len(self._open) > i:
+            e = self._open.pop()
+            e.last = len(self.data)
+            self._at[e.tag].pop()
+
+    def _place(self, tags, limits=()) -> int:
+        """The place of the outermost open element of these tags above all open ones of the limits; -1 if there is none."""
+        limit = max((self._at[t][-1] for t in limits if self._at[t]), default=-1)
+        return min((p[bisect_right(p, limit)] for t in tags if (p := self._at[t]) and p[-1] > limit), default=-1)
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, {k: v or "" for k, v in attrs})
+        self._running = False
+        for tags, limits in ([ENDS[tag]] if tag in ENDS else []) + ([(("p",), SCOPE)] if tag in ENDS_P else []):
+            if (at := self._place(tags, limits)) >= 0:
+                self._close_from(at)
+        e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, len(self.data), len(self.data))
         self.elements.append(e)
         if tag not in VOID:
+            self._at[tag].append(len(self._open))
             self._open.append(e)
 
     def handle_endtag(self, tag):
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i].tag == tag:
-                del self._open[i:]
-                break
+        self._running = False
+        places = self._at[tag]
+        limits = () if tag == "html" else ("table", "template") if tag in _OF_TABLES else SCOPE
+        if places and places[-1] >= max((self._at[t][-1] for t in limits if t != tag and self._at[t]), default=-1):
+            self._close_from(places[-1])
 
     def handle_data(self, data):
+        self.data.append(data)
         if self._open:
-            self._open[-1].own.append(data)
-        for e in self._open:
-            e.full.append(data)
+            own = self._open[-1].own
+            if self._running and own:
+                own[-1] += data
+            else:
+                own.append(data)
+        self._running = True
+
+    def handle_comment(self, data):
+        self._running = False
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def close(self):
+        super().close()
+        self._close_from(0)
 
 
 @dataclass(frozen=True)
@@ -74,10 +139,10 @@ class Selector:
     nth: int | None = None
 
     def matches(self, e: Element) -> bool:
+        """All conditions but that on the whole text."""
         return (
             (self.tag is None or e.tag == self.tag)
             and (self.text is None or self.text in e.own)
-            and (self.normal_text is None or squeeze("".join(e.full)) == self.normal_text)
             and (self.text_has is None or self.text_has in (e.own[0] if e.own else ""))
             and all(e.attrs.get(k) == v for k, v in self.attrs)
             and all(v in e.attrs.get(k, "") for k, v in self.attrs_have)
@@ -91,8 +156,15 @@ class Selector:
         c = _Collector()
         c.feed(html)
         c.close()
-        found = [(i, e.tag, squeeze("".join(e.full))) for i, e in enumerate((e for e in c.elements if self.matches(e)), 1)]
-        return found if self.nth is None else found[self.nth - 1 : self.nth]
+        found = [e for e in c.elements if self.matches(e)]
+        text = lambda e: squeeze("".join(c.data[e.first : e.last]))
+        if self.normal_text is not None:
+            # Only elements with as many characters besides white space are joined.
+            size = [0, *accumulate(len(_SPACE.sub("", d)) for d in c.data)]
+            n = len(_SPACE.sub("", self.normal_text))
+            found = [e for e in found if size[e.last] - size[e.first] == n and text(e) == self.normal_text]
+        numbered = list(enumerate(found, 1))
+        return [(i, e.tag, text(e)) for i, e in (numbered if self.nth is None else numbered[self.nth - 1 : self.nth])]
 
 
 def select_elements(df: DataFrame, key: str, html: str, selector: Selector) -> DataFrame:

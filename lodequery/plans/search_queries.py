@@ -8,7 +8,8 @@ from lodequery.functions.text import make_id, normalize_space, records_found_tex
 from lodequery.operators.criteria import Search, any_of, contains, date_range, equals
 from lodequery.operators.summary import any_match, nth_by, record_count
 from lodequery.operators.tree import Selector, select_elements
-from lodequery.sources.tables import append_row, load_table
+from lodequery.sources.scratch import scratch_folder
+from lodequery.sources.tables import append_row, load_table, write_table
 
 
 def date_range_count(spark: SparkSession, d: str) -> DataFrame:
@@ -77,17 +78,26 @@ def append_then_lookup(spark: SparkSession, d: str) -> DataFrame:
     return Search().where(r_name=equals("ATLANTIS")).apply(grown)
 
 
+def write_then_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The table and a new row written to a folder of their own, then searched there."""
+    region = load_table(spark, d, "region")
+    path = scratch_folder(spark, "region")
+    write_table(region, path)
+    write_table(append_row(region.limit(0), {"r_regionkey": 99, "r_name": "ATLANTIS"}), path)
+    return Search().where(r_regionkey=equals(99)).apply(spark.read.schema(region.schema).parquet(path))
+
+
 def text_contains(spark: SparkSession, d: str) -> DataFrame:
     return Search().where(text=contains("Licensed")).apply(load_table(spark, d, "documents")).select("doc_id")
 
 
 def text_equals(spark: SparkSession, d: str) -> DataFrame:
-    return Search().where(n_name=equals("FRANCE")).apply(load_table(spark, d, "nation")).select("n_nationkey", "n_name")
+    return Search().where(n_name=equals("NATION_1")).apply(load_table(spark, d, "nation")).select("n_nationkey", "n_name")
 
 
 def either_text(spark: SparkSession, d: str) -> DataFrame:
     nation = load_table(spark, d, "nation")
-    either = any_of(nation.n_name.contains("UNITED"), nation.n_name == "FRANCE")
+    either = any_of(nation.n_name.contains("NATION_2"), nation.n_name == "NATION_1")
     return nation.filter(either).select("n_nationkey", "n_name")
 
 
@@ -134,9 +144,9 @@ SELECTORS = {
     "html_text_contains": Selector(tag="p", text_has="tion"),
     "html_attribute_equals": Selector(tag="div", attrs=(("class", "ad"),)),
     "html_attribute_contains": Selector(tag="a", attrs_have=(("href", "/th"),)),
-    "html_name_equals": Selector(attrs=(("charset", "utf-8"),)),
     "html_class_token": Selector(cls="ad"),
     "html_nth": Selector(tag="li", nth=2),
+    "html_attribute_nth": Selector(tag="a", attrs=(("href", "/is"),), nth=2),
 }
 
 
@@ -144,13 +154,19 @@ def _tree(selector: Selector):
     return lambda spark, d: select_elements(load_table(spark, d, "pages"), "page_id", "html", selector)
 
 
+def html_name_equals(spark: SparkSession, d: str) -> DataFrame:
+    """By the name attribute; the pages have none, so each gets a search form before it."""
+    form = F.concat(F.lit('<form><input name="q"><button name="go">Go to '), F.col("page_id").cast("string"), F.lit("</button></form>"), F.col("html"))
+    return select_elements(load_table(spark, d, "pages").select("page_id", form.alias("html")), "page_id", "html", Selector(attrs=(("name", "go"),)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         date_range_count, date_range_rows, empty_range_count, lookup_by_name, lookup_by_partial_name, lookup_by_id,
         lookup_name_and_range, open_range_count, full_scan_count, records_found, filter_reset, filter_override,
-        append_then_lookup, text_contains, text_equals, either_text, make_ids, int_range, any_event, no_event,
-        normalized_text, nth_match, page_title, url_contains,
+        append_then_lookup, write_then_lookup, text_contains, text_equals, either_text, make_ids, int_range, any_event, no_event,
+        normalized_text, nth_match, page_title, url_contains, html_name_equals,
     )
 } | {k: _tree(s) for k, s in SELECTORS.items()}
 
@@ -173,10 +189,11 @@ ORACLE = {
         UNION ALL SELECT 'many', count(*) FROM events WHERE {_IN_RANGE})""",
     "filter_reset": "SELECT count(*) AS records_found FROM orders",
     "filter_override": "SELECT count(*) AS records_found FROM orders WHERE o_orderstatus = 'O'",
+    "write_then_lookup": "SELECT 99 AS r_regionkey, 'ATLANTIS' AS r_name",
     "append_then_lookup": "SELECT * FROM (SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'ATLANTIS') WHERE r_name = 'ATLANTIS'",
     "text_contains": "SELECT doc_id FROM documents WHERE contains(text, 'Licensed')",
-    "text_equals": "SELECT n_nationkey, n_name FROM nation WHERE n_name = 'FRANCE'",
-    "either_text": "SELECT n_nationkey, n_name FROM nation WHERE contains(n_name, 'UNITED') OR n_name = 'FRANCE'",
+    "text_equals": "SELECT n_nationkey, n_name FROM nation WHERE n_name = 'NATION_1'",
+    "either_text": "SELECT n_nationkey, n_name FROM nation WHERE contains(n_name, 'NATION_2') OR n_name = 'NATION_1'",
     "make_ids": "SELECT 'EMP' || c_custkey AS employee_id FROM customer",
     "int_range": "SELECT range AS i FROM range(1, 6)",
     "any_event": "SELECT coalesce(bool_or(coalesce(event_type = 'purchase', false)), false) AS found FROM events",
@@ -186,3 +203,31 @@ ORACLE = {
     "page_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "url_contains": "SELECT page_id, url FROM pages WHERE contains(url, 'example.net')",
 }
+
+
+def _elements(tag: str, pattern: str, keep: str = "true", nth: int | None = None, start: str = "html") -> str:
+    """SQL for elements of the pages: group 1 of each match is the inner text, tags and all."""
+    plain = "regexp_replace(x, '<[^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{char}')"
+    return f"""SELECT page_id, position, '{tag}' AS tag, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text FROM (
+        SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY k) AS position FROM (
+            SELECT page_id, x, k, {plain} AS text FROM (
+                SELECT page_id, unnest(f) AS x, unnest(range(1, len(f) + 1)) AS k FROM (SELECT page_id, regexp_extract_all({start}, '(?s){pattern}', 1) AS f FROM pages)))
+        WHERE {keep}){'' if nth is None else f' WHERE position = {nth}'}"""
+
+
+#: A paragraph ends at its end tag, at the next paragraph or with the article.
+_PARAGRAPHS = "'<p>' || replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>', '</p><p>') || '</p>'"
+ORACLE |= {
+    "html_by_tag": _elements("h1", "<h1>(.*?)</h1>"),
+    "html_text_equals": _elements("a", "<a [^>]*>(.*?)</a>", "x = 'the'"),
+    "html_normalized_text": _elements("a", "<a [^>]*>(.*?)</a>", "text = 'the'"),
+    "html_text_contains": _elements("p", "<p>(.*?)</p>", "contains(regexp_extract(x, '^[^<]*'), 'tion')", start=f"replace({_PARAGRAPHS}, '<p></p>', '')"),
+    "html_attribute_equals": _elements("div", '<div class="ad">(.*?)</div>'),
+    "html_attribute_contains": _elements("a", '<a href="[^"]*/th[^"]*">(.*?)</a>'),
+    "html_class_token": _elements("div", '<div class="ad">(.*?)</div>'),
+    "html_nth": _elements("li", "<li>(.*?)</li>", nth=2),
+    "html_attribute_nth": _elements("a", '<a href="/is">(.*?)</a>', nth=2),
+    "html_name_equals": "SELECT page_id, 1::BIGINT AS position, 'button' AS tag, 'Go to ' || page_id AS text FROM pages",
+}

@@ -1,4 +1,10 @@
+import os
+import shutil
+import subprocess
+import sys
+import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +13,7 @@ import __spark_entry__ as driver
 from lodequery import plans
 from lodequery.functions.text import normalize_space, now_id, or_false, parse_iso_date, records_found_text
 from lodequery.operators import Search, Selector, any_match, contains, date_range, equals, nth_by, record_count, select_elements, single_value
+from lodequery.sources import scratch
 from lodequery.sources.tables import append_row, load_table, write_table
 from lodequery.streaming import stream_count
 from tests.conftest import SF
@@ -128,17 +135,86 @@ def test_selectors(selector, expected):
     assert [t for _, _, t in selector.select(HTML)] == expected
 
 
+@pytest.mark.parametrize(
+    "html, selector, expected",
+    [
+        ("<p>a<p>b<p>c", Selector(tag="p"), ["a", "b", "c"]),
+        ("<ul><li>a<li>b</ul>", Selector(tag="li", normal_text="a"), ["a"]),
+        ("<ul><li>a<ul><li>b</ul>c<li>d</ul>", Selector(tag="li"), ["a b c".replace(" ", ""), "b", "d"]),
+        ("<p>a<div>b</div>c", Selector(tag="p"), ["a"]),
+        ("<p>a<button><p>b</button>c</p>", Selector(tag="p"), ["abc", "b"]),
+        ("<dl><dt>a<dd>b<dt>c</dl>", Selector(tag="dt"), ["a", "c"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", Selector(tag="td"), ["a", "b", "c"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", Selector(tag="tr"), ["ab", "c"]),
+        ("<table><tr><td><table><tr><td>a</table>b<td>c</table>", Selector(tag="td"), ["ab", "a", "c"]),
+        ("<select><option>a<option>b</select>c", Selector(tag="option"), ["a", "b"]),
+        ("<div>a</span>b</p></div>c", Selector(tag="div"), ["ab"]),
+        ("<div><td>a</div></td>b</div>", Selector(tag="div"), ["ab"]),
+        ("<p>a &amp; b<!-- x -->c", Selector(tag="p", text="a & b"), ["a & bc"]),
+        ('<i a="1" a="2">x</i>', Selector(attrs=(("a", "1"),)), ["x"]),
+        ("<p>x < y</p>", Selector(tag="p", text="x < y"), ["x < y"]),
+    ],
+)
+def test_elements_that_close_by_themselves(html, selector, expected):
+    assert [t for _, _, t in selector.select(html)] == expected
+
+
+@pytest.mark.parametrize("unit", ["<p>word ", "<li>word ", "<div>", "<div></span>", "<button><p>", "<b>x", "<table><tr><td>x"])
+def test_time_is_linear_in_the_page(unit):
+    started = time.perf_counter()
+    assert Selector(tag="h1", normal_text="none").select(unit * 30_000) == []
+    assert time.perf_counter() - started < 5
+
+
+def test_without_the_training_data_folders(tmp_path):
+    """What is left imports, and registers its own queries alone."""
+    root = Path(driver.__file__).parent
+    shutil.copytree(root / "lodequery", tmp_path / "lodequery", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as d, lodequery.plans as p; assert set(d.queries()) == set(p.QUERIES) and set(d.oracle_sql()) == set(p.ORACLE)"
+    for extra in ((), ("corpus_pipeline.py",)):
+        for f in ("__spark_entry__.py", *extra):
+            if (root / f).exists():
+                shutil.copy(root / f, tmp_path / f)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+#: Queries that are about finding nothing.
+NOTHING = {"empty_range_count"}
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.ORACLE) - NOTHING))
+def test_queries_find_something(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+class Unset:
+    """A session whose configuration names no shared folder."""
+
+    def __init__(self, spark, master):
+        self.sparkContext, self._jvm, self._jsc, self.conf = self, spark._jvm, spark._jsc, self
+        self.applicationId, self.master = spark.sparkContext.applicationId, master
+
+    def get(self, key, default):
+        return default
+
+
+def test_the_shared_folder(spark):
+    assert scratch.scratch_folder(spark, "a").startswith(spark.conf.get("spark.checkpoint.dir"))
+    first = scratch.shared_root(Unset(spark, "local[4]"))
+    assert first == scratch.shared_root(Unset(spark, "local")) and first.startswith("file:/") and scratch.qualified(spark, "/a/b") == "file:/a/b"
+    with pytest.raises(ValueError):
+        scratch.shared_root(Unset(spark, "local-cluster[3,2,1000]"))
+    folder = scratch.scratch_folder(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    assert scratch.remove(spark, folder) and not scratch.remove(spark, folder)
+
+
 def test_select_elements(spark):
     df = spark.createDataFrame([(1, HTML, "x"), (2, None, "y"), (3, "", "z")], "page_id long, html string, position string")
     got = select_elements(df, "page_id", "html", Selector(tag="p", nth=1)).collect()
     assert [tuple(r) for r in got] == [(1, 1, "p", "one")]
 
 
-@pytest.mark.parametrize("name", sorted(plans.search_queries.SELECTORS))
-def test_tree_queries_find_something(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() > 0
-
-
 def test_stream_counts_like_a_batch(spark, tmp_path):
     events = load_table(spark, SF, "events")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
