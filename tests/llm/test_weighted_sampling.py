@@ -3,7 +3,9 @@ import math
 import random
 import struct
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -11,11 +13,8 @@ from lodequery.llm import queries, weighted_sampling
 from tests.conftest import SF
 
 
-def chain(first: bytes, *more: int) -> int:
-    h = xxhash.xxh64_intdigest(first, 42)
-    for x in more:
-        h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
-    return h
+def hashed(packed: bytes, seed: int = 42) -> int:
+    return xxhash.xxh64_intdigest(packed, seed)
 
 
 def words(text):
@@ -24,21 +23,40 @@ def words(text):
     return Counter(w for w in text.split(" ") if w)
 
 
+@lru_cache(maxsize=None)
+def draws(term: str, k: int) -> tuple[float, float, float]:
+    """r, b and c of a term under the k-th hash function."""
+    h = hashed(term.encode())
+    x = hashed(struct.pack("<i", k), hashed(struct.pack("<Q", h)))
+    y = hashed(struct.pack("<Q", x))
+    a = -math.log(((x >> 12) + 0.5) / 2**52)
+    f, rest = (-math.log((z + 0.5) / 2**32) for z in (y & (2**32 - 1), y >> 32))
+    e = math.log((a + rest) / a)
+    return e + f, f / (e + f), a + rest
+
+
 def samples(text):
-    out, terms = [], [(xxhash.xxh64_intdigest(w.encode(), 42), n) for w, n in words(text).items()]
-    u = lambda bits, n: ((bits & ((1 << n) - 1)) + 0.5) / (1 << n)
+    """ln a of the least of each sample, by the definition."""
+    out, terms = [], list(words(text).items())
     for k in range(weighted_sampling.SAMPLES):
-        step, j = divmod(k, weighted_sampling.STEP)
         found = []
-        for h, n in terms:
-            raw = struct.pack("<Q", h)
-            x, y = chain(raw, step, 2 * j), chain(raw, step, 2 * j + 1)
-            r, b, c = -math.log(u(x, 16) * u(x >> 16, 16)), u(x >> 32, 32), -math.log(u(y, 32) * u(y >> 32, 32))
+        for w, n in terms:
+            r, b, c = draws(w, k)
             found.append(math.log(c) - r * (math.floor(math.log(n) / r + b) - b + 1))
         out.append(min(found, default=None))
     return out
 
 
+def test_draws_have_the_distributions_of_the_method():
+    """r and c Gamma(2, 1), b uniform, each pair uncorrelated."""
+    found = np.array([draws(f"word{i}", k) for i in range(500) for k in range(40)])
+    gamma = lambda x: 1 - (1 + x) * np.exp(-x)
+    uniform = np.stack([gamma(found[:, 0]), found[:, 1], gamma(found[:, 2])])
+    for u in uniform:
+        assert np.abs(np.sort(u) - (np.arange(len(u)) + 0.5) / len(u)).max() < 1.95 / len(u) ** 0.5
+    assert np.abs(np.corrcoef(uniform) - np.eye(3)).max() < 0.03
+
+
 def like(a, b):
     return sum(x == y or (x is not None and y is not None and abs(x - y) < 1e-9) for x, y in zip(a, b, strict=True)) / len(a)
 
