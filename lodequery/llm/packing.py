@@ -11,7 +11,7 @@ group holds FAN * OPEN_BINS rows at most, whatever the input's size. A bin moves
 place changes by one offset, which a join on the bin brings back to the pieces.
 
 Defined results: a null text is an empty one and has only the end id; a document without any id (no end id and no text) has no piece;
-repeated rows are packed each; an empty table gives no pieces. Columns other than the two named are never read.
+a text of any length is cut into pieces of its ids; repeated rows are packed each; an empty table gives no pieces. Columns other than the two named are never read.
 """
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ class BestFit:
             free = length + (fitting & -fitting).bit_length() - 1
             b = self._take(free)
         else:
-            if self._open == self._most:
+            if self._open == self._most and length < self._capacity:  # a full bin never is an open one
                 self._take((self._free & -self._free).bit_length() - 1)  # the fullest closes
             free, b = self._capacity, self._new
             self._new += 1

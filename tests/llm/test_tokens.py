@@ -16,7 +16,7 @@ from lodequery.llm.queries import TOKENIZERS
 from lodequery.llm.token_ids import token_ids
 from tests.conftest import SF
 
-ODD = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "'s", "1", "!", "<|endoftext|>", "\x1c", "\xa0", "　", "Σ", "İ", "日本", "́", "#", "\x85", "​", "don't", "ß", "Ÿ", "ª", ".", ",", "½"]
+ODD = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "'s", "1", "!", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\x1c", "\xa0", "　", "Σ", "İ", "日本", "́", "#", "\x85", "​", "don't", "ß", "Ÿ", "ª", ".", ",", "½"]
 RANKS, JSON, WORDS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 
 
@@ -38,13 +38,12 @@ def cases(spark):
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("path, kind", [(JSON, "byte"), (WORDS, "word")])
 def test_ids_are_the_librarys(path, kind, docs):
-    texts = [r.text for r in docs.select("text").collect()] + odd_texts(3000, 14) + ["x" * 3000, " " * 3000, None]
+    texts = [r.text for r in docs.select("text").collect()] + odd_texts(3000, 14) + ["x" * 3000, " " * 3000, None, "<|endoftext|>", "hello <|endoftext|> world", "<|startoftext|><|endoftext|>a", "b<|endoftext|>", "w " * 40000 + "<|endoftext|>" + " é" * 40000]
     whole = library(path)
     assert token_ids(path, kind).encode_many(texts) == [whole(t) for t in texts]
 
@@ -146,7 +145,7 @@ def test_best_fit_takes_the_fullest_bin_that_fits(lengths, most):
             assert free[b] == min(fits) and offset == 50 - free[b]
         else:
             assert b not in free and offset == 0
-            if len(free) == most:
+            if len(free) == most and n < 50:
                 gone = (set(free) - {k for k, _ in bins.left()}).pop()
                 assert free[gone] == min(free.values())
                 del free[gone]
