@@ -30,7 +30,9 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from lodequery.llm.shared import small_batches, written
 
-ROUNDS, MOST_TWEAKS = 6, 50
+ROUNDS, TWEAKS = 6, 8
+#: The tweak under which a name's surrogate holds all of the name's own letters, permuted, so that no two names share it.
+LAST = -1
 
 # The patterns of entities.
 _EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
@@ -65,6 +67,7 @@ ALPHABETS = [
     _range("а", "я"), _range("А", "Я"), _range("α", "ρ") + _range("σ", "ω"), _range("Α", "Ρ") + _range("Σ", "Ω"),
 ]
 _ALPHABET = {c: a for a in ALPHABETS for c in a}
+_LATIN = frozenset("".join(ALPHABETS[1:5]))
 
 
 def _luhn(digits: str) -> int:
@@ -143,12 +146,40 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
     if kind == "secret" and len(entity) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
         digits = "0123456789ABCDEF" if entity == entity.upper() else "0123456789abcdef"
         return _by_alphabet(entity, dict.fromkeys(digits, digits), key, name)
-    if kind == "name" and entity in _OF_GIVEN:
-        group, i = _OF_GIVEN[entity]
-        return GIVEN[group][_mixed([i], [len(GIVEN[group])], key, f"{name}:{group}")[0]]
+    if kind.startswith("name") and (given := _given(kind, entity, key, tweak)):
+        return given
     return _by_alphabet(entity, _ALPHABET, key, name)
 
 
+def _given(kind: str, entity: str, key: bytes, tweak: int) -> str | None:
+    """A given name of the gender that the kind tells, or else the listed name has; None if neither does. Each tweak adds a part to it."""
+    plain = entity[:1] + entity[1:].lower() if entity.isupper() else entity
+    group, i = _OF_GIVEN.get(plain, (None, 0))
+    told = kind.partition(":")[2]
+    if told and (group is None or group[0] != told):
+        group, i = (told, "cyrillic" if "Ѐ" <= entity[0] <= "ӿ" else "latin"), None
+        if group[1] == "latin" and entity[0] not in _LATIN:
+            return None
+    if group is None:
+        return None
+    names, n = GIVEN[group], len(GIVEN[group])
+    if i is None or tweak:
+        digest = hashlib.blake2b(f"{kind}:{entity}:{tweak}".encode(), key=hashlib.blake2b(key).digest()).digest()
+        parts = [names[int.from_bytes(digest[4 * k : 4 * k + 4], "big") % n] for k in range(1 + min(max(tweak, 0), 7))]
+        if tweak == LAST:
+            parts.append(_by_alphabet(plain, _ALPHABET, key, f"{kind}:last"))
+        found = "-".join(parts)
+        found = found if found != plain else f"{found}-{names[digest[-1] % n]}"
+    else:
+        found = names[_mixed([i], [n], key, f"name:0:{group}")[0]]
+    return found.upper() if entity.isupper() and len(entity) > 1 else found
+
+
+def shape(kind: str, entity: str) -> str:
+    """What a surrogate keeps of its entity; entities of one shape have distinct surrogates under one tweak."""
+    return kind if kind == "ip" else kind + ":" + "".join(str(ALPHABETS.index(_ALPHABET[c])) if c in _ALPHABET else f"={c}" for c in entity)
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _CARD.finditer(text):
         digits = re.sub("[ -]", "", m[0])
@@ -176,10 +207,16 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     if ":" in text or "=" in text:
         found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     if _TITLE.search(text):
-        parts = {w for m in _NAME.finditer(text) for w in re.split("[  ]", m[2])}
+        parts: dict[str, str] = {}
+        for m in _NAME.finditer(text):
+            first, *more = re.split("[ \u00a0]", m[2])
+            if more and TITLES[m[1]]:  # a title and one word: a surname, without a gender
+                parts[first] = f"name:{TITLES[m[1]]}"
+            for w in (first, *more):
+                parts.setdefault(w, "name")
         if parts:
             again = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")(?![\w-])")
-            found += [(*m.span(), "name") for m in again.finditer(text)]
+            found += [(*m.span(), parts[m[0]]) for m in again.finditer(text)]
     kept, at = [], 0
     for a, b, kind in sorted(found, key=lambda e: (e[0], -e[1])):
         if a >= at:
@@ -212,20 +249,44 @@ def collisions(found: DataFrame, key: bytes, draw=surrogate) -> DataFrame | None
 
         return df.select("kind", "entity", "tweak").mapInArrow(run, "kind string, entity string, tweak int, surrogate string")
 
+    kind_of = F.substring_index("kind", ":", 1).alias("type")
     now = drawn(found.select("kind", "entity", F.lit(0).alias("tweak")))
-    for _ in range(MOST_TWEAKS):
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("tweak", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
-        real = found.filter("kind != 'name'").select("kind", F.col("entity").alias("surrogate"))
-        taken = first.filter("n > 1").select("kind", "surrogate", F.col("first.entity").alias("owner"))
-        taken = taken.unionByName(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "surrogate", F.lit(None).cast("string").alias("owner")))
-        bad = now.join(taken, ["kind", "surrogate"]).filter(~F.col("entity").eqNullSafe(F.col("owner")) & (F.col("entity") != F.col("surrogate"))).select("kind", "entity").distinct()
-        bad = written(bad, "collisions")
+    for tweak in range(1, TWEAKS + 1):
+        bad = written(_colliding(now, found, kind_of), "collisions")
         if bad.isEmpty():
-            again = now.filter("tweak > 0")
-            return None if again.isEmpty() else again.select("kind", "entity", "surrogate")
-        redrawn = drawn(now.join(bad, ["kind", "entity"], "left_semi").select("kind", "entity", (F.col("tweak") + 1).alias("tweak")))
+            break
+        redrawn = drawn(now.join(bad, ["kind", "entity"], "left_semi").select("kind", "entity", F.lit(tweak).alias("tweak")))
         now = written(now.join(bad, ["kind", "entity"], "left_anti").unionByName(redrawn), "surrogates")
-    raise ValueError(f"surrogates still collide after {MOST_TWEAKS} tweaks")
+    else:
+        bad = written(_colliding(now, found, kind_of), "collisions")
+        if not bad.isEmpty():
+            # All entities of a shape without free values go back to the first tweak, under which they are distinct; names get their own letters.
+            stuck = _shapes(bad.filter("kind NOT LIKE 'name%'")).select("shape").distinct()
+            back = _shapes(now.filter("kind NOT LIKE 'name%'")).join(stuck, "shape", "left_semi").select("kind", "entity", F.lit(0).alias("tweak"))
+            back = written(back.unionByName(bad.filter("kind LIKE 'name%'").select("kind", "entity", F.lit(LAST).alias("tweak"))), "stuck")
+            now = written(now.join(back, ["kind", "entity"], "left_anti").unionByName(drawn(back)), "surrogates")
+    again = now.filter("tweak != 0")
+    return None if again.isEmpty() else again.select("kind", "entity", "surrogate")
+
+
+def _colliding(now: DataFrame, found: DataFrame, kind_of) -> DataFrame:
+    """kind and entity of those whose surrogate another one has, or that is an entity itself; of those that share one, the first keeps it."""
+    first = now.groupBy(kind_of, "surrogate").agg(F.min(F.struct("tweak", "kind", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
+    real = found.filter("kind NOT LIKE 'name%'").select(kind_of, F.col("entity").alias("surrogate")).distinct()
+    taken = first.filter("n > 1").select("type", "surrogate", F.struct("first.kind", "first.entity").alias("owner"))
+    none = F.lit(None).cast("struct<kind:string,entity:string>")
+    taken = taken.unionByName(first.join(real, ["type", "surrogate"], "left_semi").select("type", "surrogate", none.alias("owner")))
+    met = now.withColumn("type", kind_of).join(taken, ["type", "surrogate"])
+    return met.filter(~F.struct("kind", "entity").eqNullSafe(F.col("owner")) & (F.col("entity") != F.col("surrogate"))).select("kind", "entity").distinct()
+
+
+def _shapes(df: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)
+            yield b.append_column("shape", pa.array([shape(k, e) for k, e in rows], pa.string()))
+
+    return df.select("kind", "entity").mapInArrow(run, "kind string, entity string, shape string")
 
 
 _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType())]))
@@ -243,13 +304,20 @@ def distinct_entities(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def replace_entities(df: DataFrame, text_col: str, key: str, keep: list[str], draw=surrogate) -> DataFrame:
-    """The columns in keep (text_col among them or not), ``text_col`` with surrogates, and ``entities``: start, end and kind of what was replaced, in the old text."""
+    """The columns in keep (text_col among them or not), ``text_col`` with surrogates, and ``entities``: start, end and kind of what was replaced, in the old text.
+
+    Columns come in this order: text_col, the others in keep, entities.
+    """
     small_batches(df.sparkSession)
-    secret = key.encode()
-    others = [c for c in keep if c != text_col]
-    rows = df.select(text_col, *others)
+    secret, spans_col, shown = key.encode(), "entities", text_col
+    others_shown = [c for c in keep if c != text_col]
+    while spans_col in (text_col, *keep):
+        spans_col += "_"
+    # Names of the caller's columns can't clash with those needed here.
+    text_col, others = "text", [f"c{i}" for i in range(len(others_shown))]
+    rows = df.select(F.col(f"`{shown}`").alias(text_col), *(F.col(f"`{c}`").alias(o) for c, o in zip(others_shown, others, strict=True)))
     again = collisions(written(distinct_entities(rows, text_col), "entities"), secret, draw)
-    fields = StructType([df.schema[text_col], *(df.schema[c] for c in others), StructField("entities", _SPANS)])
+    fields = StructType([*rows.schema, StructField("entities", _SPANS)])
     redrawn_too = again is not None
     if redrawn_too:
         # Texts that have a redrawn entity get its new surrogates; texts are matched by their hash and their value.
@@ -270,4 +338,4 @@ def replace_entities(df: DataFrame, text_col: str, key: str, keep: list[str], dr
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in done], pa.string()), *b.columns[1 : 1 + len(others)], pa.array(spans, kind)], [text_col, *others, "entities"])
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields).toDF(shown, *others_shown, spans_col)

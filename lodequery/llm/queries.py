@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,8 +67,8 @@ def op7_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", ["url"])
 
 
-#: Keys the surrogates; a secret of one's own in production.
-SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "surrogates")
+#: Keys the surrogates: one's own secret, for the same surrogates in every run, or else one drawn for this run, which nobody can undo.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY") or secrets.token_hex(32)
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

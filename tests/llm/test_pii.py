@@ -60,6 +60,30 @@ def test_coreference_within_a_document():
     assert len(spans) == 6
 
 
+@pytest.mark.parametrize("text, group", [
+    ("Mrs Jane Smith", ("f", "latin")), ("Mr Alice Brown", ("m", "latin")), ("Frau Jasmin Weber", ("f", "latin")), ("Miss Zoë Ray", ("f", "latin")), ("Господин Ждан Петров", ("m", "cyrillic")),
+    ("Dr Clara Brown", ("f", "latin")),
+])
+def test_given_names_match_gender_and_script(text, group):
+    done = pii.replaced(text, KEY)[0].split()
+    assert done[0] == text.split()[0] and done[1] in pii.GIVEN[group] and done[1] != text.split()[1] and done[2] != text.split()[2]
+
+
+def test_no_free_values_left(spark):
+    """All values of a shape, more given names than the lists have, and columns with the names used inside."""
+    secrets = [f"--------{i}" for i in range(10)]
+    names = [f"Mrs J{c}ne{d}a Xu" for c in "abcdefghijkl" for d in "abcdefghijkl"]
+    rows = [(i, f"password: {x}", "e", "s") for i, x in enumerate(secrets)] + [(100 + i, x, "e", "s") for i, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entities string, _sha string")
+    got = pii.replace_entities(df, "text", "test", df.columns)
+    assert got.columns == ["text", "doc_id", "entities", "_sha", "entities_"]
+    texts = {r.doc_id: r.text for r in got.collect()}
+    new = {i: texts[i].removeprefix("password: ") for i in range(10)}
+    assert sorted(new.values()) == secrets and all(new[i] != x for i, x in enumerate(secrets))
+    given = [texts[100 + i].split()[1] for i in range(len(names))]
+    assert len(set(given)) == len(names) and all(g.split("-")[0] in pii.GIVEN["f", "latin"] for g in given)
+
+
 def test_marks_around_entities():
     text = 'A.34@mail7.example.com### token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"%%% 1.2.3.4!! +1 (017) 555-7713*** TOKEN = "9233A8ECF7C5B09FE5949719"!!'
     done, spans = pii.replaced(text, KEY)
