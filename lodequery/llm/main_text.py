@@ -7,6 +7,11 @@ other, and between neighbours in the same container, have capacities that fall w
 maximum flow saturates the cheapest set of edges that parts source and sink; blocks that the source
 still reaches are content. So a short paragraph stays with its neighbours, and an advert in their midst goes.
 
+Class words of a container (and a form around all) are set aside where it holds most of the page's text and no other text is marked as an article: words such as
+"has-comments" or "search-results" then speak of the page, not of that text. The classifier's weights are fixed, as no table has labelled blocks.
+
+Time is linear in the page, but for the cut's rounds (few, as paths are short). Very long pages are taken whole, one at a time.
+
 Defined results: null and empty pages have an empty text; of pages that break off, the part that is there counts, without an
 unfinished tag at the end; repeated rows are extracted each; an empty table gives no rows. Only the columns named are read.
 """
@@ -14,7 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +30,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lodequery.llm.shared import batched, rows_of, small_batches
 
 # What HTML elements are.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title textarea template noscript svg math iframe object canvas select button option audio video head".split())
+SKIPPED = frozenset("script style title textarea template noscript svg iframe object canvas select button option audio video head".split())
 RAW = frozenset("script style title textarea iframe".split())
 #: What closes an open element without an end tag.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -41,24 +49,36 @@ AWAY_WORDS = frozenset(
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar "
     "tracking trending widget widgets".split()
 )
+#: First words of class names that tell what else the page has.
+MODIFIERS = frozenset("no not with without has have is".split())
+#: Elements that may stand around a whole page.
+AROUND = frozenset(("form", "fieldset"))
+#: A container with more than this part of the text, and fewer than so many characters marked as an article outside it, isn't boilerplate by its words.
+MOST_TEXT, FEW_MARKED = 0.5, 100
 HERE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.DOTALL)
-_UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?\Z")
+_UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
-    """An open element: how its name and those around it speak for content, and its place in the tree."""
+    """An open element: how its name and words speak for or against content, the text in it, and its place in the tree."""
 
     tag: str
-    odds: float
     hidden: bool
     depth: int
     parent: Node | None
     in_article: bool
+    article: bool = False
+    here: bool = False
+    away: bool = False  # by what the element is
+    away_words: bool = False  # by its class words, or a form
+    text: int = 0  # characters outside links
+    marked: int = 0  # of these, in something like an article and nothing that isn't content
+    odds: float = 0.0
 
 
 @dataclass
@@ -73,27 +93,56 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _opened(tag: str, raw: str, parent: Node | None) -> Node:
+def _words(attrs: dict[str, str]) -> set[str]:
+    found = set()
+    for k in ("class", "id", "role", "itemprop", "aria-label"):
+        for token in attrs.get(k, "").split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if words and words[0] not in MODIFIERS:
+                found.update(words)
+    return found
+
+
+def _opened(tag: str, raw: str, parent: Node) -> Node:
     attrs = _attributes(raw)
-    words = set() if tag in ("html", "body") else {w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _WORD.findall(attrs.get(k, ""))}
+    words = set() if tag in ("html", "body") else _words(attrs)
     article = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-    inside = parent is not None and parent.in_article
-    odds = parent.odds if parent else 0.0
-    if tag in AWAY_TAGS or tag == "header" and not inside or words & AWAY_WORDS:
-        odds = min(odds, 0.0) - 5.0
-    elif article:
-        odds += 3.0
-    elif words & HERE_WORDS:
-        odds += 1.0
-    hidden = parent is not None and parent.hidden or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-    return Node(tag, odds, hidden, parent.depth + 1 if parent else 0, parent, inside or article)
+    hidden = parent.hidden or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+    away = tag in AWAY_TAGS and tag not in AROUND or tag == "header" and not parent.in_article
+    return Node(tag, hidden, parent.depth + 1, parent, parent.in_article or article, article, bool(words & HERE_WORDS), away, tag in AROUND or bool(words & AWAY_WORDS))
+
+
+def _judge(nodes: list[Node], found: list[Block]) -> None:
+    """Sets the odds of all nodes, which are in page order, parents first."""
+    marked, clean = {nodes[0]: False}, {nodes[0]: True}
+    for e in nodes[1:]:
+        clean[e] = clean[e.parent] and not e.away and not e.away_words
+        marked[e] = marked[e.parent] or e.article or e.here
+    for b in found:
+        n = max(0, len(b.text) - b.linked)
+        b.node.text += n
+        b.node.marked += n if marked[b.node] and clean[b.node] else 0
+    for e in reversed(nodes[1:]):
+        e.parent.text += e.text
+        e.parent.marked += e.marked
+    root = nodes[0]
+    for e in nodes[1:]:
+        around = e.text > MOST_TEXT * root.text and root.marked - e.marked < FEW_MARKED
+        if e.away or e.away_words and not around:
+            e.odds = min(e.parent.odds, 0.0) - 5.0
+        else:
+            good = 0.0 if e.parent.odds <= -5.0 else 3.0 if e.article else 1.0 if e.here else 0.0  # nothing in boilerplate is made good by its name
+            e.odds = e.parent.odds + good
 
 
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order."""
-    page = _UNFINISHED.sub("", page or "")
+    page = page or ""
+    if m := _UNFINISHED.search(page, page.rfind(">") + 1):
+        page = page[: m.start()]
     out: list[Block] = []
-    node = Node("", 0.0, False, 0, None, False)
+    node = Node("", False, 0, None, False)
+    nodes, is_open = [node], Counter()
     held: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -129,29 +178,35 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if closing:
-            up = node
-            while up.parent is not None and up.tag != name:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            while is_open[name]:
+                is_open[node.tag] -= 1
+                stop, node = node.tag == name, node.parent
+                if stop:
+                    break
             continue
         if name in VOID or raw.endswith("/") and name in SKIPPED:
             continue
         for tag in CLOSES.get(name, ("p", *HEADINGS)):
             if node.tag == tag and node.parent is not None:
+                is_open[tag] -= 1
                 node = node.parent
         if name in CLOSES and node.tag == name and node.parent is not None:
+            is_open[name] -= 1
             node = node.parent
         if name == "body":  # whatever the head left open
             while node.parent is not None and node.tag != "html":
+                is_open[node.tag] -= 1
                 node = node.parent
         if name in RAW:
             end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
         node = _opened(name, raw, node)
+        nodes.append(node)
+        is_open[name] += 1
     say(page[at:])
     flush()
+    _judge(nodes, out)
     return out
 
 
@@ -160,13 +215,17 @@ def odds(b: Block) -> float:
     n = max(1, len(b.text))
     ends = sum(b.text.count(c) for c in ".!?;:。！？")
     length = min(len(b.text), 300) / 300
-    return b.node.odds - 0.8 + 3.0 * length + (0.8 if ends else 0.0) - 5.0 * min(1.0, b.linked / n) + (0.5 if b.heading else 0.0) * (1 + b.node.in_article)
+    return b.node.odds - 0.8 + 3.0 * length + (0.8 if ends else 0.0) - (1.0 if b.node.in_article and b.node.odds > 0 else 5.0) * min(1.0, b.linked / n) + (0.5 if b.heading else 0.0) * (1 + b.node.in_article)
+
+
+#: Distances in the tree aren't told apart beyond this.
+FAR = 40
 
 
 def distance(a: Node, b: Node) -> int:
-    """Edges between two elements of the tree."""
+    """Edges between two elements of the tree, FAR at most."""
     n = 0
-    while a is not b:
+    while a is not b and n < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -196,8 +255,8 @@ def neighbours(found: list[Block]) -> list[tuple[int, int, float]]:
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut.
 
-    gain: capacity from the source if positive, to the sink if negative. Shortest augmenting paths run from nodes with capacity
-    left from the source to nodes with capacity left to the sink.
+    gain: capacity from the source if positive, to the sink if negative. Dinic's rounds: levels by distance from nodes with capacity left
+    from the source, then paths that go down one level at a time until none is left, each edge being given up once it leads nowhere.
     """
     left = list(gain)
     near: list[list[list]] = [[] for _ in gain]
@@ -207,29 +266,41 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
         near[i].append(there)
         near[j].append(back)
     while True:
-        came: dict[int, list | None] = {i: None for i, g in enumerate(left) if g > 1e-9}
-        queue, end = deque(came), None
-        while queue and end is None:
+        level = {i: 0 for i, g in enumerate(left) if g > 1e-9}
+        starts, queue, met = list(level), deque(level), False
+        while queue:
             i = queue.popleft()
+            met = met or left[i] < -1e-9
             for e in near[i]:
-                if e[1] > 1e-9 and e[0] not in came:
-                    came[e[0]] = e
-                    if left[e[0]] < -1e-9:
-                        end = e[0]
-                        break
+                if e[1] > 1e-9 and e[0] not in level:
+                    level[e[0]] = level[i] + 1
                     queue.append(e[0])
-        if end is None:
-            return [i in came for i in range(len(gain))]
-        path, i = [], end
-        while (e := came[i]) is not None:
-            path.append(e)
-            i = e[2][0]
-        amount = min(left[i], -left[end], *(e[1] for e in path))
-        left[i] -= amount
-        left[end] += amount
-        for e in path:
-            e[1] -= amount
-            e[2][1] += amount
+        if not met:
+            return [i in level for i in range(len(gain))]
+        tried = [0] * len(gain)
+        for start in starts:
+            path, i = [], start
+            while left[start] > 1e-9:
+                if left[i] < -1e-9:
+                    amount = min(left[start], -left[i], *(e[1] for e in path)) if path else 0.0
+                    left[start] -= amount
+                    left[i] += amount
+                    for e in path:
+                        e[1] -= amount
+                        e[2][1] += amount
+                    path, i = [], start
+                elif tried[i] < len(near[i]):
+                    e = near[i][tried[i]]
+                    if e[1] > 1e-9 and level.get(e[0]) == level[i] + 1:
+                        path.append(e)
+                        i = e[0]
+                    else:
+                        tried[i] += 1
+                elif path:
+                    i = path.pop()[2][0]
+                    tried[i] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:

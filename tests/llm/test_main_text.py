@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import product
 
 import pytest
@@ -31,6 +32,35 @@ def test_class_words_of_the_whole_page_say_nothing():
     assert main_text.main_text(f'<body class="with-sidebar"><p>{LONG}</p></body>') == LONG.strip()
 
 
+@pytest.mark.parametrize("words", ["post has-comments", "content-area with-sidebar", "content no-sidebar", "entry story-share", "page form-page", "main-content search-results", "text-legal", "reader-view", "content", "wrap"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<form action=x>{}</form>"])
+def test_class_words_around_the_text(words, inner):
+    text = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    page = f'<body><nav><a href=a>Alpha</a> <a href=b>Beta</a></nav><div class="{words}">{inner.format(text)}</div><footer>&copy; someone</footer></body>'
+    assert main_text.main_text(page) == "\n".join(["Head", LONG.strip(), LONG.strip()])
+
+
+def test_comments_and_teasers_beside_an_article_go_however_long():
+    page = f'<article><p>{LONG}</p></article><section id="comments"><article><p>{LONG * 9}</p></article></section><div class="related-posts"><article><p>{LONG * 9}</p></article></div>'
+    assert main_text.main_text(page) == LONG.strip()
+
+
+def test_links_and_formulas_of_an_article_stay():
+    links = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(5))
+    page = f"<article><p>{LONG}</p><ul>{links}</ul><p>It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>"
+    assert main_text.main_text(page).split("\n") == [LONG.strip(), *(f"Item {i}" for i in range(5)), "It is x=1."]
+
+
+@pytest.mark.parametrize("page", [
+    "".join(f'<p>{LONG}</p><div class="ad">Buy now, {i}.</div>' for i in range(10_000)), "<a" * 500_000 + ">", "<div>" * 30_000 + "x", "<div></b></i></x>" * 30_000, "<p>a <!" * 30_000, "<p title='" * 30_000,
+    "<table><tr><td>" * 20_000, "<div class=ad>x" * 20_000,
+])
+def test_time_is_near_linear(page):
+    started = time.perf_counter()
+    main_text.main_text(page)
+    assert time.perf_counter() - started < 12
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("<p", ""), ("<script>never closed", ""), ("<!-- open", ""),
     (f"<article><p>{LONG}</p><p>cut <b", f"{LONG.strip()}\ncut"), (f"<article><p>{LONG}<a href=\"x", LONG.strip()),
