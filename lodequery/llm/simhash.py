@@ -13,7 +13,8 @@ that no task holds more than two chunks of one. Of the links in a group only tho
 the task, at most one for each node; components are the same as from all links.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; null document ids never name a component
-unless there is no other in it (then null); repeated rows are kept; an empty table gives no rows.
+unless there is no other in it (then null); repeated rows are kept; very long texts are taken whole, their shingles counted _AT_ONCE at a time; other columns are never read by near_duplicates() and come
+through drop_near_copies() unchanged, whatever their names; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -184,6 +185,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, radiu
 LANES, LANE_BITS, LANE_RADIUS, WIDE = 8, 40, 2, 8
 #: Texts, and shingles of each, that tell which shingles are common: the order of shingles, never the result, depends on them.
 SAMPLE_TEXTS, SAMPLE_SHINGLES = 20_000, 1_000
+#: Nodes that share a shingle of their prefixes beyond which their pairs are looked at by parity bits, of which there are so many.
+CROWD, BITS = 32, 512
 #: Pairs held before those of equal nodes are added up.
 _PAIRS_AT_ONCE = 1 << 18
 
@@ -244,7 +247,7 @@ def _common(texts: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _prefixes(texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataFrame:
-    """``_uid``, ``size`` of the text's shingle set and ``prefix``: its rarest shingles.
+    """``_uid``, ``size`` of the text's shingle set, ``prefix``: its rarest shingles, and ``parity``: BITS bits, each the parity of the shingles that fall on it.
 
     Shingles are put into one order, rare ones first (by the sample, then by hash). Two sets of n and m shingles and a similarity of t or more
     share at least t / (1 + t) * (n + m). So they can't do without a common one among the first n - ceil(t n) + 1 of the one and the first
@@ -254,16 +257,17 @@ def _prefixes(texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, found = [], []
+            sizes, found, parity = [], [], []
             for t in b.column(1).to_pylist():
                 h = _set_of(t, k)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 often = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
                 sizes.append(len(h))
                 found.append(h[np.lexsort((h, often))[: _first(len(h), limit)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_uid", "size", "prefix"])
+                parity.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(parity, pa.binary())], ["_uid", "size", "prefix", "parity"])
 
-    return texts.select("_uid", text_col).mapInArrow(run, "_uid long, size long, prefix array<long>")
+    return texts.select("_uid", text_col).mapInArrow(run, "_uid long, size long, prefix array<long>, parity binary")
 
 
 def _first(n, limit: Fraction):
@@ -271,18 +275,23 @@ def _first(n, limit: Fraction):
     return n - -(-limit.numerator * n // limit.denominator) + (n > 0)
 
 
-def _pairs(rows: DataFrame, limit: Fraction) -> DataFrame:
-    """Pairs a, b of nodes that may have at least this similarity, each once; rows: shingle, node, component and size, a row for each shingle of a prefix.
+def _pairs(prefixes: DataFrame, part: DataFrame, limit: Fraction) -> DataFrame:
+    """Pairs a, b of nodes that may have at least this similarity; part: node and component of those that have links so far.
 
     Left out, as below the limit for sure: sizes too far apart, and fewer common shingles in the prefixes than make up for all of the
-    shingles behind one of them. Nodes of one component need no pair.
+    shingles behind one of them. Nodes of one component need no pair. Where more than CROWD nodes share a shingle, their pairs are left to _crowded.
     """
     p, q = limit.numerator, limit.denominator
 
     def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         shingle, node, component, size = rows
-        here, shift = np.arange(len(node)), 0
-        held: list[np.ndarray] = []
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[starts, len(shingle)])
+        crowded = np.repeat(times > CROWD, times)
+        if crowded.any():
+            c = [x[crowded] for x in (node, shingle, component)]
+            yield batch([*c, np.zeros(len(c[0]), np.int64)])
+        here, shift, held = np.flatnonzero(~crowded), 0, []
         while len(here):
             shift += 1
             here = here[here + shift < len(node)]
@@ -301,21 +310,71 @@ def _pairs(rows: DataFrame, limit: Fraction) -> DataFrame:
 
     def summed(held: list[np.ndarray]) -> pa.RecordBatch:
         abn, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(abn[:, i], pa.int64()) for i in range(3)), pa.array(n, pa.int64())], ["a", "b", "need", "n"])
+        return batch([*abn.T, n])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for b in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            yield from met([r[:cut] for r in rows])
-            left = [r[cut:] for r in rows]
-        if left is not None:
-            yield from met(left)
+    def batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "need", "n"])
 
+    # A node alone is its own component, named only after the shuffle.
+    rows = prefixes.join(part, "node", "left").select(F.explode("prefix").alias("shingle"), "node", "component", "size")
     together = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "node", F.coalesce("component", "node").alias("component"), "size")
-    return together.mapInArrow(run, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+    found = written(together.mapInArrow(_by_group(met), "a long, b long, need long, n long"), "met")
+    few = found.filter("n > 0").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+    # Members of crowds: node, shingle and component stand in a, b and need.
+    crowds = found.filter("n = 0").select(F.col("a").alias("node"), F.col("b").alias("shingle"), F.col("need").alias("component"))
+    return few.unionByName(_crowded(crowds.join(prefixes.select("node", "size", "parity"), "node"), limit))
+
+
+def _crowded(rows: DataFrame, limit: Fraction) -> DataFrame:
+    """Pairs a, b of nodes of different components that share a shingle, as far as their parity bits allow for this similarity.
+
+    Sets of n and m shingles at a similarity of t or more differ in (1 - t) / (1 + t) * (n + m) shingles at most, and their parity bits in no more bits.
+    """
+    p, q = limit.numerator, limit.denominator
+
+    def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, node, component, size, bits = rows
+        here, shift, held = np.arange(len(node)), 0, [np.zeros((0, 2), np.int64)]
+        while len(here):
+            shift += 1
+            here = here[here + shift < len(node)]
+            here = here[(shingle[here] == shingle[here + shift]) & (q * size[here] >= p * size[here + shift])]
+            x, y = here, here + shift
+            apart = component[x] != component[y]
+            x, y = x[apart], y[apart]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * (size[x] + size[y])
+            x, y = x[near], y[near]
+            held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        ab = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ab.T], ["a", "b"])
+
+    together = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "node", "component", "size", "parity")
+    return together.mapInArrow(_by_group(met), "a long, b long")
+
+
+def _by_group(each):
+    """Runs ``each`` over columns of rows, as arrays, that hold all rows of each value of the first column, which is sorted."""
+
+    def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, n = [], 0
+        for b in batches:
+            rows = arrays(b)
+            if not b.num_rows:
+                continue
+            if left and rows[0][0] == left[0][0][0] and rows[0][-1] == rows[0][0]:  # all of the group that goes on
+                left.append(rows)
+                continue
+            rows = [np.concatenate(x) for x in zip(*left, rows, strict=True)] if left else rows
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from each([r[:cut] for r in rows])
+            left = [[r[cut:] for r in rows]]
+        if left:
+            yield from each([np.concatenate(x) for x in zip(*left, strict=True)])
+
+    return run
 
 
 def _with_hubs(prefixes: DataFrame, found: DataFrame, limit: Fraction) -> DataFrame:
@@ -363,7 +422,10 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, simi
     such links count, and no others. Texts without shingles are one group.
     """
     small_batches(df.sparkSession)
-    limit = Fraction(str(similarity))
+    limit, shown = Fraction(str(similarity)), df.columns
+    # Names of the caller's columns can't clash with those needed here.
+    id_col, text_col = (f"c{shown.index(c)}" for c in (id_col, text_col))
+    df = df.toDF(*(f"c{i}" for i in range(len(shown))))
     lanes, wide = [f"_lane{i}" for i in range(LANES)], [f"_wide{i}" for i in range(WIDE)]
     fields = [*df.schema, *(StructField(c, LongType()) for c in ("_uid", "_node", *lanes, *wide))]
     at, n_lane_hashes = df.columns.index(text_col), -(-LANES * LANE_BITS // 64)
@@ -391,11 +453,9 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, simi
     first = links(table_rows(nodes, [F.col(c) for c in lanes], LANE_RADIUS, LANE_BITS), nodes, wide, most, nearest_first=(most * 7 // 10, most * 8 // 10, most * 9 // 10))
     first = written(_similar(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, marked, text_col, k, limit), "links")
     so_far = nodes.select("node", F.col("best.uid").alias("_uid"))
-    prefixes = written(_prefixes(marked, text_col, k, limit).join(so_far, "_uid").select("node", "size", "prefix"), "prefixes")
+    prefixes = written(_prefixes(marked, text_col, k, limit).join(so_far, "_uid").select("node", "size", "prefix", "parity"), "prefixes")
     found = written(first.unionByName(_similar(_with_hubs(prefixes, first, limit), nodes, marked, text_col, k, limit)), "links")
-    # A node alone is its own component, named only after the shuffle.
-    rows = prefixes.join(components(found), "node", "left").select(F.explode("prefix").alias("shingle"), "node", "component", "size")
-    second = _similar(_pairs(rows, limit), nodes, marked, text_col, k, limit)
+    second = _similar(_pairs(prefixes, components(found), limit), nodes, marked, text_col, k, limit)
     of = nodes.select("node", "best").join(components(found.unionByName(second)), "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     stay = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("_uid"))
-    return marked.join(stay, "_uid", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    return marked.join(stay, "_uid", "left_semi").select(df.columns).toDF(*shown)

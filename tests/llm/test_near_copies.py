@@ -67,3 +67,24 @@ def test_stage_against_exact_components(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect())
     assert got == least_of_components({r.doc_id: set(simhash.shingles(simhash.words(r.text), 5)) for r in docs.collect()})
+
+
+def test_a_family_without_its_base(spark, monkeypatch):
+    """Copies with up to four changed words each, near to some of the others only; a few share so many shingles that they make crowds."""
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    r = random.Random(12)
+    base, texts = fresh(r, 150), []
+    for _ in range(150):
+        text = list(base)
+        for i in r.sample(range(150), r.randint(1, 4)):
+            text[i] = f"v{r.randrange(60)}"
+        texts.append(" ".join(text))
+    got, want = kept_and_wanted(spark, texts + [" ".join(base[:50] + fresh(r, n)) for n in range(10, 60)])
+    assert 2 < len(want) < 190
+    assert got == want
+
+
+def test_columns_named_as_those_within(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 2, "x", 3), (2, "a b c d e f", 2, "y", 4)], "doc_id long, text string, _uid long, _lane0 string, c0 long")
+    got = simhash.drop_near_copies(df, "doc_id", "text")
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 2, "x", 3)]
