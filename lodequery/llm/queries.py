@@ -4,10 +4,11 @@ from __future__ import annotations
 import os
 import secrets
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where the public vocabulary files are; the same on every machine.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZER_FILES") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,45 +2,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from lodequery.sources.scratch import scratch_folder as new_folder
+
 #: Rows of a batch sent to Python: bounds a worker's memory where texts are long.
 BATCH_ROWS = 1000
 
 
-#: Folders of sessions that name none, by application.
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, with its file system; a new local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="shared-")
-        _own[app] = root
-    return qualified(spark, root)
-
-
-def qualified(spark: SparkSession, root: str) -> str:
-    """A folder as Spark itself reads it: without a scheme, on the cluster's default file system."""
-    if "://" not in root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,7 +1,8 @@
 import pyarrow as pa
 import pytest
 
-from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, qualified, rows_of, shared_root, small_batches, written
+from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, rows_of, small_batches, written
+from lodequery.sources.scratch import shared_root
 
 
 @pytest.mark.parametrize("uri", ["file:/tmp/x", "file:///tmp/x"])
@@ -16,21 +17,6 @@ def test_the_sessions_folder_is_used(spark):
     assert df.count() == 3 and all(f.startswith(root) for f in df.inputFiles())
 
 
-class Unset:
-    """A session whose configuration names no folder."""
-
-    def __init__(self, spark):
-        self.sparkContext, self._jvm, self._jsc, self.conf = spark.sparkContext, spark._jvm, spark._jsc, self
-
-    def get(self, key, default):
-        return default
-
-
-def test_a_session_without_a_folder_gets_one_of_its_own(spark):
-    first = shared_root(Unset(spark))
-    assert first == shared_root(Unset(spark)) and first.startswith("file:/") and qualified(spark, "/a/b") == "file:/a/b"
-
-
 def test_batches_are_bounded():
     schema = pa.schema([("k", pa.int64()), ("t", pa.string())])
     rows = [(i, "x" * 10) for i in range(25)]
