@@ -35,14 +35,19 @@ def with_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ())
     return df.select(text_col, *cols).mapInArrow(run, StructType(fields))
 
 
-def labelled_counts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = MOST_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, labels 0 or 1) of at most ``most`` rows whose label may be learnt from, in the order of a hash of their ids.
+def labelled_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = MOST_LABELS) -> DataFrame:
+    """id_col, text_col and ``_label`` (0 or 1) of the rows with one of ``most`` ids whose label may be learnt from, those with the least hash.
 
     The labels taken are bounded before they are sent to the executors, so their broadcast is, too.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     taken = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = df.select(id_col, text_col).join(F.broadcast(taken), F.col(id_col) == F.col("_id"))
+    return df.select(id_col, text_col).join(F.broadcast(taken), F.col(id_col) == F.col("_id")).select(id_col, text_col, "_label")
+
+
+def labelled_counts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = MOST_LABELS) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, labels 0 or 1) of at most ``most`` rows whose label may be learnt from, in the order of a hash of their ids."""
+    rows = labelled_rows(df, labels, id_col, text_col, label_col, most)
     found = with_counts(rows, id_col, text_col, ["_label"]).orderBy(F.xxhash64(id_col), id_col, *NAMES).limit(most).collect()
     counts = np.array([[r[n] for n in NAMES] for r in found], np.int64).reshape(-1, len(NAMES))
     return counts, np.array([r["_label"] for r in found], np.int64)

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -5,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodequery.llm import quality_rank, quality_rules, queries
+from lodequery.llm import quality_rank, quality_rules, queries, word_odds
 from lodequery.llm.labelled import labelled_counts
 from lodequery.llm.text_stats import NAMES, stats
 from tests.conftest import SF
@@ -63,6 +64,41 @@ def test_op5_on_held_out_labels(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.97
 
 
+def test_scores_use_the_order_of_words_and_more_than_two_values(spark):
+    docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
+    ranking, r = quality_rank.learn(docs, labels, "doc_id", "text", "quality"), random.Random(1)
+    texts = [x.text for x in docs.orderBy("doc_id").collect() if len((x.text or "").split()) > 30][:200]
+    shuffled = []
+    for t in texts:
+        words = t.split()
+        r.shuffle(words)
+        shuffled.append(re.sub(r"\S+", lambda m, w=iter(words): next(w), t))  # lines stay as long as they are
+    a, b = ranking.scores(texts), ranking.scores(shuffled)
+    assert np.mean(a != b) > 0.9 and len(set(a.round(6))) > 100
+
+
+@pytest.mark.parametrize("text", [*ODD, "A b a B"])
+def test_slots_of_odd_texts(text):
+    words, pairs = word_odds.slots(text)
+    w = (text or "").lower().encode().split()
+    assert len(words) == len(w) and len(pairs) == max(0, len(w) - 1)
+    assert len({*zip(words.tolist(), w, strict=True)}) == len(set(w)) and len(set(words.tolist())) == len(set(w))
+    assert len({*zip(pairs.tolist(), w, w[1:])}) == len(set(zip(w, w[1:])))  # one slot for one pair
+
+
+def test_odds_by_hand(spark):
+    rows = spark.createDataFrame([("a b", 1, 0), ("a b a b", 1, 1), ("c", 0, 0), ("a", 0, 1), (None, 0, 1), ("", 1, 0)], "t string, y int, f int").repartition(3)
+    seen = word_odds.documents_with(rows, "t", "y", "f")
+    (a, b), (ab,) = word_odds.slots("a b")
+    (c,), _ = word_odds.slots("c")
+    assert seen[:, :, a].tolist() == [[0, 1], [1, 1]] and seen[:, :, ab].tolist() == [[0, 1], [0, 1]] and seen[:, :, c].tolist() == [[1, 0], [0, 0]]
+    assert seen.sum() == 3 + 4 + 1 + 1  # the pair b a is in one text only
+    odds = word_odds.odds_of(seen.sum(axis=0))
+    # 7 of the 9 counted words and pairs are of good documents, so two of three are fewer than most have.
+    assert odds[b] > 0 > odds[a] > odds[c] and odds[word_odds.slots("unseen")[0][0]] == 0
+    assert word_odds.means([None, "", "b"], odds).tolist() == [[0, 0], [0, 0], [odds[b], 0]]
+
+
 def test_learnt_weights_have_no_slope_left():
     r = np.random.default_rng(2)
     better, worse = r.normal(0.4, 1, (500, 4)), r.normal(0, 1, (500, 4))
