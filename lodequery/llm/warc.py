@@ -5,19 +5,19 @@ their index entries sorted by URL key and timestamp. Equal payloads of at least
 capture with the smallest id; the others become revisit records that refer to it.
 
 Merging. Runs are merged k ways by a loser tree: the inner nodes of a tournament keep the losers, so the next
-entry costs one comparison a level. While there are more than FAN_IN runs, groups of FAN_IN are merged into longer runs, one
-task a group. The last merge is dealt to tasks by ranges of the sort key, which come from keys that each
-run samples at even distances; a task reads only the row groups that reach into its range. The parts, one after the other, are the
-captures in the order of URL key and timestamp. Memory is FAN_IN row groups, whatever the number of captures.
+entry costs one comparison a level. What describes the runs is a table in the shared folder, not a list on the driver: while it has more than FAN_IN rows,
+tasks merge FAN_IN of them at a time into longer runs. The last merge is dealt to tasks by ranges of the sort key, of PART_ROWS captures or so, which come from keys
+that the last FAN_IN runs sample at even distances; a task reads only the row groups that reach into its range. The parts, one after the other, are the
+captures in the order of URL key and timestamp. Memory is FAN_IN row groups, whatever the number of captures; the driver holds a few keys and a name for each PART_ROWS captures.
 
-Reading follows the merged index: entries are read a batch at a time, in the order of their places in the archives.
-The digest of each payload read is held against its record's.
+Reading follows the merged index: entries are taken BATCH_BYTES of records at a time, in the order of their places in the archives, and neighbouring
+places (less than GAP apart) are one read. The digest of each payload read is held against its record's.
 
 Files are written under names of their own, and only those named by tasks that ended well are used.
 
 Defined results: a null payload is an empty one; a null URL has an empty key and no target; without a time column a capture's time is
 EPOCH plus its id in seconds; null ids come first and never lead a group that has others; rows with the smallest id of a group are all responses;
-an empty table gives no rows. Columns other than those named are never read.
+an empty table gives no rows. A very long payload is written and read whole, one at a time in memory. Columns other than those named are never read, so their names don't matter.
 """
 from __future__ import annotations
 
@@ -34,9 +34,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, small_batches
+from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, small_batches, written
 
 LEAST_REVISIT, RUN_ROWS, FAN_IN, GROUP_ROWS, SAMPLED = 100, 200_000, 64, 4096, 32
+#: Captures of a part of the index, at most about; a part's bounds are sampled eight times as finely.
+PART_ROWS = 1_000_000
+#: Bytes of records that are read from archives at a time, those of one read, and those between two places that one read takes along.
+BATCH_BYTES, READ_BYTES, GAP = 1 << 24, 1 << 22, 1 << 16
 EPOCH = datetime(2024, 1, 1)
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:captures")
 #: Fixed value: the profile of revisits with an identical payload.
@@ -96,7 +100,7 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def roles(df: DataFrame, id_col: str, url_col: str, html_col: str, time_col: str | None) -> DataFrame:
     """id, url, time, html, digest and first: the id of the capture that a row revisits, or null.
 
-    Only digests that repeat are joined back, so a group of copies however large is one row on that side.
+    Only digests that repeat are joined back, so a group of copies however large is one row on that side; the rows of a large one are split by adaptive execution (skewed join).
     """
     docs = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), (F.col(time_col).cast("string") if time_col else F.lit(None).cast("string")).alias("time"),
@@ -116,7 +120,7 @@ def _write_run(folder: str, entries: Iterable[tuple], n: int) -> tuple[str, int,
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     name, count, keys = f"run-{uuid.uuid4().hex}.parquet", 0, []
-    every = max(1, n // SAMPLED)
+    every = max(1, min(n // SAMPLED, PART_ROWS // 8))
     with fs.open_output_stream(f"{path}/{name}") as out, pq.ParquetWriter(out, ENTRY, compression="zstd") as w:
         for b in batched(iter(entries), ENTRY, GROUP_ROWS):
             w.write_batch(b, row_group_size=GROUP_ROWS)
@@ -135,8 +139,8 @@ def _described(name: str, n: int, keys: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([shown], _RUN_ARROW.field("keys").type)], schema=_RUN_ARROW)
 
 
-def write_archives(df: DataFrame, id_col: str, url_col: str, html_col: str, folder: str, time_col: str | None = None) -> list:
-    """Archives and sorted runs under ``folder``; a row (name, n, keys) for each run."""
+def write_archives(df: DataFrame, id_col: str, url_col: str, html_col: str, folder: str, time_col: str | None = None) -> DataFrame:
+    """Archives and sorted runs under ``folder``; a table in the shared folder with a row (name, n, keys) for each run."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +164,7 @@ def write_archives(df: DataFrame, id_col: str, url_col: str, html_col: str, fold
         if entries:
             yield _described(*_write_run(folder, sorted(entries, key=_sort_key), len(entries)))
 
-    return roles(df, id_col, url_col, html_col, time_col).mapInArrow(run, _RUN).collect()  # a row for each run
+    return written(roles(df, id_col, url_col, html_col, time_col).mapInArrow(run, _RUN), "runs")
 
 
 class LoserTree:
@@ -216,24 +220,32 @@ def _entries(folder: str, name: str, low: tuple | None = None, high: tuple | Non
                         yield e
 
 
-def merge_runs(spark: SparkSession, folder: str, runs: list, parts: int, fan_in: int = FAN_IN) -> list[str]:
-    """Names of the index's parts, in order."""
-    runs = sorted((r.name, r.n, [tuple(k) for k in r["keys"]]) for r in runs)
-    while len(runs) > fan_in:
-        groups = [[(n, c) for n, c, _ in runs[i : i + fan_in]] for i in range(0, len(runs), fan_in)]
+def _longer(folder: str, runs: DataFrame, count: int, fan_in: int) -> DataFrame:
+    """The table of the runs that come of merging at most fan_in of them each."""
 
-        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for i in (i for b in batches for i in b.column(0).to_pylist()):
-                yield _described(*_write_run(folder, LoserTree([_entries(folder, x) for x, _ in groups[i]]), sum(n for _, n in groups[i])))  # noqa: B023
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        for group in (held[i : i + fan_in] for i in range(0, len(held), fan_in)):
+            yield _described(*_write_run(folder, LoserTree([_entries(folder, x) for x, _ in group]), sum(n for _, n in group)))
 
-        runs = sorted((r.name, r.n, [tuple(k) for k in r["keys"]]) for r in one_task_each(spark, groups).mapInArrow(longer, _RUN).collect())
-    sampled = sorted(((*_sort_key((*k, "", 0))[:4],), n / max(1, len(ks))) for _, n, ks in runs for k in ks)
-    total, bounds, seen = sum(w for _, w in sampled), [], 0.0
+    # Dealt round robin, so a task has about fan_in names; one that has more merges them fan_in at a time.
+    return written(runs.select("name", "n").repartition(-(-count // fan_in)).mapInArrow(merged, _RUN), "runs")
+
+
+def merge_runs(spark: SparkSession, folder: str, runs: DataFrame, parts: int | None = None, fan_in: int = FAN_IN) -> list[str]:
+    """Names of the index's parts, in order: one for each PART_ROWS captures, and ``parts`` at least (by default the session's shuffle partitions)."""
+    while (count := runs.count()) > fan_in:
+        runs = _longer(folder, runs, count, fan_in)
+    last = sorted((r.name, r.n, [tuple(k) for k in r["keys"]]) for r in runs.collect())  # fan_in rows at most
+    total = sum(n for _, n, _ in last)
+    parts = max(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    sampled = sorted(((*_sort_key((*k, "", 0))[:4],), n / max(1, len(ks))) for _, n, ks in last for k in ks)
+    bounds, seen = [], 0.0
     for k, w in sampled:
         if seen >= total * (len(bounds) + 1) / parts and (not bounds or k > bounds[-1]):
             bounds.append(k)
         seen += w
-    names = [n for n, _, _ in runs]
+    names = [n for n, _, _ in last]
     ranges = list(zip([None, *bounds], [*bounds, None], strict=True))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +253,7 @@ def merge_runs(spark: SparkSession, folder: str, runs: list, parts: int, fan_in:
             name, _, _ = _write_run(folder, LoserTree([_entries(folder, x, *ranges[i]) for x in names]), 1 << 62)
             yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int64()), "name": [name]})
 
-    if not runs:
+    if not last:
         return []
     return [r.name for r in sorted(one_task_each(spark, ranges).mapInArrow(part, "part long, name string").collect())]
 
@@ -277,6 +289,21 @@ def _capture(e: tuple, member: bytes, with_payload: bool) -> tuple:
     return (None if page is None else int(page), int(http["Content-Length"]), digest, fields["WARC-Type"], None if first is None else int(first), e[0], e[1], *([None if revisit else payload] if with_payload else []))
 
 
+def spans(places: Iterable[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
+    """(file, start, end, numbers) of reads that cover sorted places (file, offset, length, number); one longer than READ_BYTES only for a place that is."""
+    file, low, high, numbers = "", 0, 0, []
+    for f, at, length, i in places:
+        if numbers and (f != file or at - high > GAP or max(high, at + length) - low > READ_BYTES):
+            yield file, low, high, numbers
+            numbers = []
+        if not numbers:
+            file, low, high = f, at, at
+        high = max(high, at + length)
+        numbers.append(i)
+    if numbers:
+        yield file, low, high, numbers
+
+
 def read_archives(spark: SparkSession, folder: str, index: list[str], with_payload: bool = False) -> DataFrame:
     """Captures in the order of the index, a task for each of its parts; with the payloads of responses if asked for."""
     out = _CAPTURE if with_payload else _CAPTURE.remove(7)
@@ -288,18 +315,22 @@ def read_archives(spark: SparkSession, folder: str, index: list[str], with_paylo
                 yield from batched(captures(archives, index[i]), out)
 
     def captures(archives: _Archives, name: str) -> Iterator[tuple]:
-        held = []
+        held, size = [], 0
         for e in _entries(folder, name):
             held.append(e)
-            if len(held) == 1000:
+            size += e[5]
+            if size >= BATCH_BYTES:
                 yield from fetched(archives, held)
-                held = []
+                held, size = [], 0
         yield from fetched(archives, held)
 
     def fetched(archives: _Archives, held: list[tuple]) -> list[tuple]:
         found = [()] * len(held)
-        for i in sorted(range(len(held)), key=lambda i: held[i][3:5]):
-            found[i] = _capture(held[i], archives.read(*held[i][3:6]), with_payload)
+        for file, low, high, places in spans((*held[i][3:6], i) for i in sorted(range(len(held)), key=lambda i: held[i][3:5])):
+            block = archives.read(file, low, high - low)
+            for i in places:
+                at = held[i][4] - low
+                found[i] = _capture(held[i], block[at : at + held[i][5]], with_payload)
         return found
 
     return one_task_each(spark, index).mapInArrow(run, _CAPTURE_SQL + (", payload binary" if with_payload else ""))
@@ -310,5 +341,4 @@ def archive(df: DataFrame, id_col: str, url_col: str, html_col: str, time_col: s
     spark = df.sparkSession
     folder = new_folder(spark, "captures")
     runs = write_archives(df, id_col, url_col, html_col, folder, time_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return read_archives(spark, folder, merge_runs(spark, folder, runs, parts, fan_in), with_payload)
+    return read_archives(spark, folder, merge_runs(spark, folder, runs, fan_in=fan_in), with_payload)

@@ -65,13 +65,47 @@ def test_archives_are_valid_gzip_members(spark):
     df = spark.createDataFrame(cases(), "page_id long, url string, html string")
     folder = new_folder(spark, "t")
     runs = warc.write_archives(df.coalesce(1), "page_id", "url", "html", folder)
-    assert sum(r.n for r in runs) == df.count()
+    assert sum(r.n for r in runs.collect()) == df.count()
     fs, path = filesystem(folder)
     raw = b"".join(fs.open_input_stream(f.path, compression=None).read() for f in fs.get_file_info(warc.pa.fs.FileSelector(path)) if f.path.endswith(".warc.gz"))
     text = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
     assert text.count(b"WARC/1.1\r\n") == df.count()
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_reads_cover_all_places(seed, monkeypatch):
+    r = random.Random(seed)
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    monkeypatch.setattr(warc, "GAP", r.choice([0, 7, 50]))
+    places, at = [], 0
+    for i in range(r.randrange(40)):
+        n = r.choice([1, 9, 60, 300])
+        places.append((f"f{i // 15}", at, n, i))
+        at += n + r.choice([0, 0, 5, 30, 500])
+    got = list(warc.spans(places))
+    assert [i for *_, numbers in got for i in numbers] == list(range(len(places)))
+    for file, low, high, numbers in got:
+        mine = [places[i] for i in numbers]
+        assert {p[0] for p in mine} == {file} and (low, high) == (mine[0][1], max(p[1] + p[2] for p in mine))
+        assert high - low <= 100 or len(numbers) == 1
+        assert all(b[1] - a[1] - a[2] <= warc.GAP for a, b in zip(mine, mine[1:]))
+
+
+def test_parts_follow_the_captures_and_the_driver_gets_few_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_ROWS", 40)
+    monkeypatch.setattr(warc, "RUN_ROWS", 100)
+    df = spark.createDataFrame([(i, f"http://h{i * 7919 % 1000}.org/", f"<p>{i}</p>") for i in range(1000)], "page_id long, url string, html string")
+    folder = new_folder(spark, "t")
+    runs = warc.write_archives(df, "page_id", "url", "html", folder)
+    n = runs.count()
+    assert n >= 10 and -(-n // 3) <= warc._longer(folder, runs, n, 3).count() < n
+    index = warc.merge_runs(spark, folder, runs, 4, 3)
+    sizes = [sum(1 for _ in warc._entries(folder, x)) for x in index]
+    assert sum(sizes) == 1000 and len(index) >= 20 and max(sizes) <= 120
+    got = [(r.url_key, r.timestamp) for r in warc.read_archives(spark, folder, index).collect()]
+    assert len(got) == 1000 and got == sorted(got)
+
+
 def test_a_damaged_record_is_refused():
     good = warc.record(1, "http://a", "20240101000000", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
     assert warc.parse(good)[2] == b"x" * 200
