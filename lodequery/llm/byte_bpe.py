@@ -9,7 +9,8 @@ one character may be spread over several tokens.
 
 Defined results: a null text encodes like an empty one (no ids); special-token strings in a text are
 ordinary text; repeated rows are encoded each; an empty table gives an empty table. Only the two
-columns named are read, so other columns can't clash.
+columns named are read, so other columns can't clash. A very long text is encoded whole, a row at a time; one without
+ASCII white space (many scripts, encoded data) isn't cut at all and goes to the library in one piece.
 """
 from __future__ import annotations
 

@@ -14,7 +14,7 @@ has too, or that is itself an entity of the corpus (names aside: given names are
 none collides. Only entities so changed travel back to the documents; commonly there is none.
 
 Defined results: a null text stays null and has no entities; an entity without variable characters stays as it is; repeated rows get the same
-text; an empty table gives no rows. Columns other than those named are never read, and the columns kept come through unchanged.
+text; an empty table gives no rows; a very long text is searched whole, one at a time. Columns other than those named are never read, and the columns kept come through unchanged.
 """
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ Files come from range partitions, so file order is key order; where a file start
 over the files before it, of which there is one row a file.
 
 Defined results: a null text is an empty one and has only the end id; null keys come first; rows with equal keys stand in the
-order of their texts; an empty table makes no files and no rows. Columns other than the two named are never read.
+order of their texts; an empty table makes no files and no rows; a very long text is encoded whole, its ids going over as many blocks as they need.
+Columns other than the two named are never read.
 """
 from __future__ import annotations
 
