@@ -85,3 +85,21 @@ def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodequery.llm import warc
 
     return warc.archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import lexical_search
+
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodequery.llm import top_k
+
+    return top_k.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")

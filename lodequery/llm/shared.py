@@ -29,10 +29,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later steps don't depend on executors staying alive."""
+    return written_to(df, name)[0]
+
+
+def written_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and the folder that it was written to."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def one_task_each(spark: SparkSession, items: list) -> DataFrame:
