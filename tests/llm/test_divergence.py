@@ -1,0 +1,115 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from lodequery.llm import divergence, queries, registry
+from lodequery.llm.terms import term_table, terms
+from tests.conftest import SF
+from tests.oracle import assert_same
+
+SCHEMA = StructType([StructField("doc_id", LongType()), *(StructField(c, StringType()) for c in ("text", "lang", "source", "term"))])
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def brute(rows, least_docs, top):
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text or ""))) for _, text, lang, source, *_ in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        of = [d for d in docs if d[0] == lang]
+        held = Counter(t for d in of for t in set(d[2]))
+        kept = {t for t, n in held.items() if n >= least_docs}
+        counts = {s: Counter(t for d in of if d[1] == s for t in d[2] if t in kept) for s in {d[1] for d in of}}
+        whole = sum(counts.values(), Counter())
+
+        def p(c, kept=kept):
+            total = sum(c.values())
+            return {t: 1 + 10**9 * (c[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        q = p(whole)
+        for s in counts:
+            mine = p(counts[s])
+            pairs = [(o, sum(abs(mine[t] - x) for t, x in p(counts[o]).items())) for o in counts if o != s]
+            apart = [(t, mine[t] - q[t]) for t in kept if counts[s][t] and mine[t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", apart, top)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, v, k) for k, (item, v) in enumerate(found[:most], 1)]
+    return sorted(out)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect())
+
+
+def corpus(n, seed, sources=5):
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + i)}" for i in range(26)] + ["Ärger", "ärger", "ÉTÉ", "x٣y", "İstanbul", "a𝒳b", "don't", "A1b", "_z_"]
+    rows = []
+    for i in range(n):
+        source = "hot" if rng.random() < 0.4 else f"s{rng.randrange(sources)}"
+        rows.append((i, " ".join(rng.choices(words, k=rng.randrange(0, 30))), rng.choice(["en", "de"]), source, "other"))
+    return rows
+
+
+def test_results_equal_brute_force_with_odd_rows(spark):
+    rows = corpus(240, 1)
+    rows += [(500, None, None, None, None), (501, "", "xx", "only", None), (502, "alone", "yy", "a", "t"), (502, "alone", "yy", "b", "t")] + [rows[0]] * 9
+    rows.append((503, "long LONG " * 50_000, "en", "s0", "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(divergence.audit(df, "text", "lang", "source", 12, 4)) == brute(rows, 12, 4)
+
+
+def test_handing_on_early_changes_nothing(spark, monkeypatch):
+    rows = corpus(200, 2, sources=9)
+    monkeypatch.setattr(divergence, "HELD", 40)
+    assert rows_of(divergence.audit(spark.createDataFrame(rows, SCHEMA), "text", "lang", "source", 3, 50)) == brute(rows, 3, 50)
+
+
+def test_a_square_of_two_blocks_has_pairs_across_only(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(divergence, "BLOCK", 2)
+    base, post = {0: 5, 1: 7, 2: 4, 3: 9}, {b"t": {0: 50, 2: 1}, b"u": {3: 9, 1: 70}}
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        square = divergence._Square(a, b)
+        own = sorted({n for n in base if n // 2 in (a, b)})
+        square.take(None, np.array(own), np.array([base[n] for n in own]))
+        for t, found in post.items():
+            here = [n for n in found if n in own]
+            if here:
+                square.take(t, np.array(here), np.array([found[n] for n in here]))
+        got = {(i, j): c for i, j, c in zip(*(square.changes("l").column(c).to_pylist() for c in "i j change".split()), strict=True)}
+        want = {}
+        for i in own:
+            for j in own:
+                if i < j and {i // 2, j // 2} == {a, b}:
+                    v = sum(abs(f.get(i, base[i]) - f.get(j, base[j])) - abs(base[i] - base[j]) for f in post.values())
+                    want |= {(i, j): v} if v else {}
+        assert got == want
+
+
+def test_empty_table_and_no_kept_terms(spark):
+    assert rows_of(divergence.audit(spark.createDataFrame([], SCHEMA), "text", "lang", "source")) == []
+    rows = [(1, "a b", "en", "x", ""), (2, "c", "en", "y", "")]
+    assert rows_of(divergence.audit(spark.createDataFrame(rows, SCHEMA), "text", "lang", "source")) == [("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]
+
+
+def test_counts_beyond_64_bits_of_the_product_stay_exact(spark):
+    df = spark.createDataFrame([(10**12, 3 * 10**12 + 7, 90_001)], "n long, t long, v long")
+    assert df.select(divergence.share("n", "t", "v")).first()[0] == 1 + 10**9 * (10**12 + 5) // (3 * 10**12 + 7 + 5 * 90_001)
+
+
+@pytest.mark.parametrize("text", ["", "Ab cD", "é1É", "a" * 50 + " b", " x  y ", "\x00a\x80\x85b\x7f"])
+def test_terms_in_pieces_are_the_patterns_matches(text):
+    want = [m.encode() for m in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))]
+    for piece in (1, 3, 1 << 20):
+        assert [t for some in terms(text.encode(), term_table(), piece) for t in some] == want
+
+
+def test_query_equals_sql(spark):
+    assert_same(queries.op11_source_divergence(spark, SF), registry.ORACLE["op11_source_divergence"], SF)
