@@ -1,16 +1,15 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Encoding. Texts longer than SPLIT_AT are cut at safe boundaries first, where no match of the
-pattern can cross: before white space that follows a character which isn't, and, in a white-space
-run longer than SPLIT_AT, before the run's last character if something follows it (the pattern
-leaves exactly that character to the next match). So the ids are those of the whole text, while the
-pattern's backtracking stays within a bounded run. Decoding joins the tokens' raw bytes; bytes of
-one character may be spread over several tokens.
+pattern can cross: before white space that follows a character which isn't. A white-space run of LONGEST_RUN
+characters or more never goes through the pattern, whose backtracking it would exhaust: what the pattern makes of it is known. It is one
+match, less its last character if something follows it, and goes to the merges as it is. So the ids are those of the whole text.
+Decoding joins the tokens' raw bytes; bytes of one character may be spread over several tokens.
 
 Defined results: a null text encodes like an empty one (no ids); special-token strings in a text are
 ordinary text; repeated rows are encoded each; an empty table gives an empty table. Only the two
 columns named are read, so other columns can't clash. A very long text is encoded whole, a row at a time; one without
-ASCII white space (many scripts, encoded data) isn't cut at all and goes to the library in one piece.
+white space (many scripts, encoded data) isn't cut at all and goes to the library in one piece, which takes linear time.
 """
 from __future__ import annotations
 
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -29,33 +29,39 @@ from pyspark.sql.types import StructField, StructType, BinaryType, LongType, Str
 from lodequery.llm.shared import batched, rows_of, small_batches
 
 SPLIT_AT = 1 << 16
-#: Fixed value: how vocabularies of this family split text before the merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space, before which a text may be cut if what stands before is none in any library's sense.
-_EDGE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \n\t\r]")
+LONGEST_RUN = 1 << 12
+PATTERN = public_tokenizers.PATTERN
+#: Fixed value: white space as the pattern's engine has it (Unicode's, without Python's U+001C to U+001F).
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_EDGE = re.compile(f"(?<![{SPACE}])[{SPACE}]")
+_RUN = re.compile(f"[{SPACE}]{{{LONGEST_RUN},}}+")
 
 
-def split_safely(text: str, limit: int = SPLIT_AT) -> Iterator[str]:
-    """Parts whose encodings, one after the other, are the encoding of the text."""
+def split_safely(text: str, limit: int = SPLIT_AT) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one match) whose encodings, one after the other, are the encoding of the text."""
     at = 0
-    while len(text) - at > limit:
-        m = _EDGE.search(text, at + limit // 2)
+    for run in _RUN.finditer(text) if len(text) >= LONGEST_RUN else ():
+        yield from _split(text, at, run.start(), limit)
+        at = run.end() - (run.end() < len(text))  # the last character is the next match's
+        yield text[run.start() : at], True
+    yield from _split(text, at, len(text), limit)
+
+
+def _split(text: str, at: int, end: int, limit: int) -> Iterator[tuple[str, bool]]:
+    while end - at > limit:
+        m = _EDGE.search(text, at + limit // 2, end)
         if m is None:
             break
-        yield from _split_run(text[at : m.start()], limit)
+        yield text[at : m.start()], False
         at = m.start()
-    yield from _split_run(text[at:], limit)
+    if at < end:
+        yield text[at:end], False
 
 
-def _split_run(part: str, limit: int) -> Iterator[str]:
-    """A part that starts with a long white-space run: the run without its last character, then the rest."""
-    if len(part) > limit:
-        rest = part.lstrip(" \n\t\r")
-        run = len(part) - len(rest)
-        if run > limit and rest and not rest[0].isspace():
-            yield part[: run - 1]
-            part = part[run - 1 :]
-    yield part
+def encoded(engine: tiktoken.Encoding, text: str | None) -> Iterator[list[int]]:
+    """The ids of a text, part by part, without special tokens."""
+    for part, one in split_safely(text or ""):
+        yield engine._encode_single_piece(part) if one else engine.encode_ordinary(part)
 
 
 class Codec:
@@ -67,7 +73,7 @@ class Codec:
         self._encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in split_safely(text or "") for i in self._encoding.encode_ordinary(part)]
+        return [i for ids in encoded(self._encoding, text) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return self._encoding.decode_bytes(ids)

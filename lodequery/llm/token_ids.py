@@ -81,7 +81,11 @@ class ByteIds(Ids):
         del self._file
 
     def _ordinary(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(self._engine.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes() for p in (split_safely(t) if t else ())) for t in texts]
+        return [b"".join(self._part(*p) for p in (split_safely(t) if t else ())) for t in texts]
+
+    def _part(self, text: str, one_match: bool) -> bytes:
+        ids = self._engine._encode_single_piece(text) if one_match else self._engine.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, "<u4").tobytes()
 
 
 class WordIds(Ids):

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodequery.llm import byte_bpe, packing, queries, simple8b
 from lodequery.llm.queries import TOKENIZERS
 from lodequery.llm.token_ids import token_ids
@@ -53,12 +55,43 @@ def whole_encoding():
     return tiktoken.Encoding("t", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_cuts_are_safe():
+def test_cuts_are_safe(monkeypatch):
     e = whole_encoding()
-    for text in [*odd_texts(3000, 40), "a" + " " * 50 + "b", " " * 50 + "b", "\n" * 30 + "x y " * 30]:
-        for limit in (2, 7):
-            parts = list(byte_bpe.split_safely(text, limit))
-            assert "".join(parts) == text and [i for p in parts for i in e.encode_ordinary(p)] == e.encode_ordinary(text)
+    texts = [*odd_texts(3000, 40), "a" + " " * 50 + "b", " " * 50 + "b", "\n" * 30 + "x y " * 30, " " * 9, "\u3000\u2028" * 5 + "\x1c  ", "b\x85\x85\x85\x1f"]
+    for longest in (2, 3, 6, 1000):
+        monkeypatch.setattr(byte_bpe, "_RUN", re.compile(f"[{byte_bpe.SPACE}]{{{longest},}}+"))
+        monkeypatch.setattr(byte_bpe, "LONGEST_RUN", longest)
+        for text in texts:
+            for limit in (2, 7):
+                parts = list(byte_bpe.split_safely(text, limit))
+                ids = [i for p, one in parts for i in (e._encode_single_piece(p) if one else e.encode_ordinary(p))]
+                assert "".join(p for p, _ in parts) == text and ids == e.encode_ordinary(text)
+
+
+#: Runs of two million characters: alone, leading, trailing and in the midst.
+RUNS = {"space": " ", "no-break": "\u00a0", "newline": "\n", "mixed": " \n\t\u3000"}
+
+
+def with_runs(unit, n):
+    run = unit * (n // len(unit))
+    return [run, run + "x", "x" + run, "Some words" + run + "and more."]
+
+
+@pytest.mark.parametrize("kind", RUNS)
+def test_long_white_space_has_the_librarys_ids(kind):
+    whole = library(JSON)
+    texts = with_runs(RUNS[kind], 1_100_000)
+    assert token_ids(JSON, "byte").encode_many(texts) == [whole(t) for t in texts]
+
+
+def test_long_white_space_in_the_queries(spark):
+    texts = [t for unit in RUNS.values() for t in with_runs(unit, 2_000_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    ids = byte_bpe.encode_texts(df, "doc_id", "text", RANKS, byte_bpe.PATTERN)
+    back = {r.doc_id: (r.n_tokens, r.sha) for r in byte_bpe.decode_ids(ids, "doc_id", RANKS, byte_bpe.PATTERN).selectExpr("doc_id", "n_tokens", "sha2(decoded, 256) AS sha").collect()}
+    assert {d: s for d, (_, s) in back.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    pieces = corpus_pipeline.sequences(spark, df, SF).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r.doc_id: r[1] for r in pieces} == {d: n + 1 for d, (n, _) in back.items()}
 
 
 def test_op2_round_trip(spark, docs):
