@@ -22,6 +22,12 @@ def now_id(prefix: str) -> Column:
     return make_id(prefix, F.unix_millis(F.current_timestamp()))
 
 
+def millis_id(prefix: str, at: Column) -> Column:
+    """``prefix`` and a time without zone in milliseconds since 1970, whatever the session's zone. A null time gives null."""
+    since = (at - F.expr("TIMESTAMP_NTZ '1970-01-01'")).cast("interval second").cast("decimal(18, 6)")
+    return make_id(prefix, F.floor(since * 1000).cast("long"))
+
+
 def or_false(predicate: Column) -> Column:
     """A predicate that can't be decided (null) counts as false."""
     return F.coalesce(predicate, F.lit(False))

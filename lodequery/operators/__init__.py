@@ -1,9 +1,9 @@
 """Search criteria, counts, positional selection and tree selection."""
 from lodequery.operators.criteria import Search, all_of, any_of, contains, date_range, equals
 from lodequery.operators.summary import any_match, nth_by, record_count, single_value
-from lodequery.operators.tree import Selector, select_elements
+from lodequery.operators.tree import Page, Selector, has_elements, select_elements, select_many
 
 __all__ = [
-    "Search", "Selector", "all_of", "any_match", "any_of", "contains", "date_range", "equals",
-    "nth_by", "record_count", "select_elements", "single_value",
+    "Page", "Search", "Selector", "all_of", "any_match", "any_of", "contains", "date_range", "equals", "has_elements",
+    "nth_by", "record_count", "select_elements", "select_many", "single_value",
 ]

@@ -1,26 +1,27 @@
-"""Element selection in HTML text by tag, attribute, text and position.
+"""Element selection in HTML text by tag, attribute, text and position, and the elements of many selectors in one pass over a page.
 
-Web pages are rarely well-formed XML, so the built-in xpath functions fail on them; the standard
-library's tolerant parser runs over Arrow batches instead, one document at a time. Elements that HTML lets stand
-without an end tag (paragraphs, list items, table cells, options) end where a browser ends them: at the start of
-what can't be inside them, or with the element around them. An end tag without an open element is ignored, and unclosed
-inline elements (b, a) aren't opened again in the next block.
+Web pages are rarely well-formed XML, so the built-in xpath functions fail on them; a tolerant scan runs over Arrow batches instead, one
+document at a time. Elements come out as a browser builds them: those that HTML lets stand without an end tag (paragraphs, list items, table cells,
+options) end at the start of what can't be inside them, or with the element around them; formatting elements (b, a) that are left open are opened again in the next
+block, and end tags that cross a block part them at its start. An end tag without an open element is ignored. What follows an unfinished tag at the end is dropped with it.
 
 An element's text is a range of the document's text nodes and is joined for matches only, so the time is linear in the page
-and in the text that is returned.
+and in the text that is returned. As in browsers, elements lie DEPTH deep at most: what is deeper counts as a sibling. Of formatting elements left open the last DEPTH are remembered; elements that are opened again are
+no more than one for every eight characters of the page (and a thousand), which only pages made for the purpose reach.
 """
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-from itertools import accumulate
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
+from html import unescape
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Elements that have no content and so no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,16 +45,34 @@ ENDS = {
     "body": (("head",), frozenset()),
 }
 _OF_TABLES = frozenset(("table", "template", "caption", "colgroup", *_CELLS, *_ROWS, *_GROUPS))
+#: Elements that are opened again after a block has ended them, those that keep this within themselves, and those that end tags of such elements part.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MARKERS = frozenset("applet caption marquee object td template th".split())
+SPECIAL = ENDS_P | SCOPE | _OF_TABLES | {"body", "li", "iframe", "select", "textarea"}
+#: Elements before whose start nothing is opened again, and those in which white space is not.
+QUIET = ENDS_P | _OF_TABLES | frozenset("li body html head param source track base link meta script style title textarea iframe noembed noframes".split())
+_TABLE_PARTS = frozenset(("table", "tbody", "thead", "tfoot", "tr", "colgroup"))
+#: Elements whose content is text, and those of them that have character references.
+RAW, REFERENCES = frozenset("script style title textarea iframe noembed noframes xmp".split()), frozenset(("title", "textarea"))
+DEPTH = 512
+#: How many open formatting elements of one tag and the same attributes are opened again.
+SAME = 3
 _SPACE = re.compile(r"[ \t\r\n]+")
+_ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+)))?+"""
+_ATTRIBUTES = re.compile(_ATTRIBUTE, re.ASCII)
+#: A comment, a tag (without an end if the page breaks off in it) or a declaration; possessive, so that what doesn't match isn't tried again.
+_MARKUP = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:" + _ATTRIBUTE.replace("([^", "(?:[^") + r")*+)[\s/]*+(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.ASCII | re.DOTALL
+)
 
 
 def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text).strip(" ")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
-    """A tag, its attributes, its own text nodes, and the range of the document's text nodes that lies in it."""
+    """A tag, its attributes, its own text nodes, and the range of the document's text nodes that lies in it; -1 while it is open."""
 
     tag: str
     attrs: dict[str, str]
@@ -62,62 +81,191 @@ class Element:
     own: list[str] = field(default_factory=list)
 
 
-class _Collector(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+class Page:
+    """The elements of a document, in its order, and its text nodes."""
+
+    def __init__(self, html: str | None):
         self.elements: list[Element] = []
         self.data: list[str] = []
         self._open: list[Element] = []
         self._at: dict[str, list[int]] = defaultdict(list)  # places of open elements by tag
+        self._active: list[Element] = []  # formatting elements to open again, and the markers among them
         self._running = False  # whether the last thing seen was text
+        self._again = len(html or "") // 8 + 1000
+        self._scan(html or "")
+        self._close_from(0)
+        self._sizes: list[int] | None = None
+
+    def _scan(self, html: str) -> None:
+        at = 0
+        while m := _MARKUP.search(html, at):
+            self._text(html[at : m.start()])
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                self._running = False
+            elif not m[4]:
+                return
+            elif m[1]:
+                self._end(tag)
+            else:
+                self._start(tag, {n.lower(): unescape(a or b or c) for n, a, b, c in reversed(_ATTRIBUTES.findall(m[3]))} if m[3] else {})
+                if tag in RAW:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE | re.ASCII).search(html, at)
+                    stop = end.start() if end else len(html)
+                    self._data(unescape(html[at:stop]) if tag in REFERENCES else html[at:stop])
+                    at = stop
+        self._text(html[at:])
 
     def _close_from(self, i: int) -> None:
         while len(self._open) > i:
             e = self._open.pop()
             e.last = len(self.data)
             self._at[e.tag].pop()
+            if e.tag in MARKERS and e in self._active:
+                del self._active[self._active.index(e) :]
 
     def _place(self, tags, limits=()) -> int:
         """The place of the outermost open element of these tags above all open ones of the limits; -1 if there is none."""
         limit = max((self._at[t][-1] for t in limits if self._at[t]), default=-1)
         return min((p[bisect_right(p, limit)] for t in tags if (p := self._at[t]) and p[-1] > limit), default=-1)
 
-    def handle_starttag(self, tag, attrs):
+    def _push(self, tag: str, attrs: dict[str, str]) -> Element:
+        self._close_from(DEPTH - 1)
+        e = Element(tag, attrs, len(self.data))
+        self.elements.append(e)
+        self._at[tag].append(len(self._open))
+        self._open.append(e)
         self._running = False
+        return e
+
+    def _open_again(self) -> None:
+        """Formatting elements that a block has ended, after the last that is still open."""
+        a = self._active
+        if self._again <= 0:
+            return
+        k = len(a)
+        while k and a[k - 1].last >= 0 and a[k - 1].tag not in MARKERS:
+            k -= 1
+        for k in range(k, len(a)):
+            self._again -= 1
+            a[k] = self._push(a[k].tag, a[k].attrs)
+
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
         for tags, limits in ([ENDS[tag]] if tag in ENDS else []) + ([(("p",), SCOPE)] if tag in ENDS_P else []):
             if (at := self._place(tags, limits)) >= 0:
                 self._close_from(at)
-        e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, len(self.data), len(self.data))
-        self.elements.append(e)
-        if tag not in VOID:
-            self._at[tag].append(len(self._open))
-            self._open.append(e)
+        if tag == "a" and self._formatting("a"):
+            self._end_formatting("a")
+        if tag not in QUIET:
+            self._open_again()
+        if tag in VOID:
+            self.elements.append(Element(tag, attrs, len(self.data), len(self.data)))
+            self._running = False
+            return
+        e = self._push(tag, attrs)
+        if len(self._active) > DEPTH and tag in MARKERS | FORMATTING:
+            del self._active[0]
+        if tag in MARKERS:
+            self._active.append(e)
+        elif tag in FORMATTING:
+            same = [f for f in self._since_marker() if f.tag == tag and f.attrs == attrs]
+            if len(same) >= SAME:
+                self._active.remove(same[0])
+            self._active.append(e)
 
-    def handle_endtag(self, tag):
-        self._running = False
+    def _since_marker(self) -> list[Element]:
+        k = next((k for k in range(len(self._active), 0, -1) if self._active[k - 1].tag in MARKERS), 0)
+        return self._active[k:]
+
+    def _formatting(self, tag: str) -> Element | None:
+        return next((e for e in reversed(self._since_marker()) if e.tag == tag), None)
+
+    def _end(self, tag: str) -> None:
+        if tag in FORMATTING and self._formatting(tag):
+            self._end_formatting(tag)
+            return
         places = self._at[tag]
         limits = () if tag == "html" else ("table", "template") if tag in _OF_TABLES else SCOPE
         if places and places[-1] >= max((self._at[t][-1] for t in limits if t != tag and self._at[t]), default=-1):
             self._close_from(places[-1])
+            self._running = False
+
+    def _end_formatting(self, tag: str) -> None:
+        """Ends a formatting element. Where blocks stand open in it, it ends before the first; what that block has so far goes into a copy of it."""
+        e = self._formatting(tag)
+        while e is not None:
+            if e.last >= 0:
+                self._active.remove(e)
+                return
+            i = self._open.index(e)
+            if i < max((self._at[t][-1] for t in SCOPE if self._at[t]), default=-1):
+                return
+            b = next((j for j in range(i + 1, len(self._open)) if self._open[j].tag in SPECIAL), None)
+            if b is None:
+                self._close_from(i)
+                self._active.remove(e)
+                self._running = False
+                return
+            block, between = self._open[b], self._open[i + 1 : b]
+            for x in (e, *between):
+                x.last = block.first
+            kept = []  # formatting elements between the two stand around the block from now on
+            for x in (x for x in between if x in self._active):
+                kept.append(Element(x.tag, x.attrs, block.first))
+                self._active[self._active.index(x)] = kept[-1]
+            copy = Element(tag, e.attrs, block.first, own=block.own)
+            block.own = []
+            at = next(k for k in range(len(self.elements) - 1, -1, -1) if self.elements[k] is block)
+            self.elements[at : at + 1] = [*kept, block, copy]
+            self._active.remove(e)
+            self._active.append(copy)
+            self._open[i : b + 1] = [*kept, block, copy]
+            self._at.clear()
+            for k, x in enumerate(self._open):
+                self._at[x.tag].append(k)
+            e = copy
 
-    def handle_data(self, data):
-        self.data.append(data)
+    def _text(self, raw: str) -> None:
+        if raw:
+            if self._active and not (self._open and self._open[-1].tag in _TABLE_PARTS and raw.isspace()):
+                self._open_again()
+            self._data(unescape(raw) if "&" in raw else raw)
+
+    def _data(self, text: str) -> None:
+        if not text:
+            return
+        self.data.append(text)
         if self._open:
             own = self._open[-1].own
             if self._running and own:
-                own[-1] += data
+                own[-1] += text
             else:
-                own.append(data)
+                own.append(text)
         self._running = True
 
-    def handle_comment(self, data):
-        self._running = False
+    def text(self, e: Element) -> str:
+        return squeeze("".join(self.data[e.first : e.last]))
 
-    handle_decl = handle_pi = unknown_decl = handle_comment
+    def matches(self, selector: Selector) -> Iterator[Element]:
+        """The elements that satisfy all conditions of a selector but its position, in document order."""
+        found = (e for e in self.elements if selector.matches(e))
+        if selector.normal_text is None:
+            yield from found
+            return
+        # Only elements with as many characters besides white space are joined.
+        if self._sizes is None:
+            self._sizes = [0, *accumulate(len(_SPACE.sub("", d)) for d in self.data)]
+        n = len(_SPACE.sub("", selector.normal_text))
+        yield from (e for e in found if self._sizes[e.last] - self._sizes[e.first] == n and self.text(e) == selector.normal_text)
 
-    def close(self):
-        super().close()
-        self._close_from(0)
+    def select(self, selector: Selector) -> list[tuple[int, str, str]]:
+        """(position among the matches from 1, tag, collapsed text) in document order."""
+        first, stop = (0, None) if selector.nth is None else (selector.nth - 1, selector.nth)
+        return [(i, e.tag, self.text(e)) for i, e in islice(enumerate(self.matches(selector), 1), first, stop)]
+
+    def has(self, selector: Selector) -> bool:
+        """Whether select() finds anything; looks no further than that."""
+        return next(islice(self.matches(selector), (selector.nth or 1) - 1, None), None) is not None
 
 
 @dataclass(frozen=True)
@@ -150,38 +298,73 @@ class Selector:
         )
 
     def select(self, html: str | None) -> list[tuple[int, str, str]]:
-        """(position among the matches from 1, tag, collapsed text) in document order; none for null or empty text."""
-        if not html:
-            return []
-        c = _Collector()
-        c.feed(html)
-        c.close()
-        found = [e for e in c.elements if self.matches(e)]
-        text = lambda e: squeeze("".join(c.data[e.first : e.last]))
-        if self.normal_text is not None:
-            # Only elements with as many characters besides white space are joined.
-            size = [0, *accumulate(len(_SPACE.sub("", d)) for d in c.data)]
-            n = len(_SPACE.sub("", self.normal_text))
-            found = [e for e in found if size[e.last] - size[e.first] == n and text(e) == self.normal_text]
-        numbered = list(enumerate(found, 1))
-        return [(i, e.tag, text(e)) for i, e in (numbered if self.nth is None else numbered[self.nth - 1 : self.nth])]
+        """Page.select() of an HTML text; nothing for a null or empty one."""
+        return Page(html).select(self)
 
+    @classmethod
+    def xpath(cls, locator: str) -> Selector:
+        """The selector that an XPath locator stands for: ``//tag[..]``, or ``(//tag[..])[n]``, with ``*`` for any tag.
 
-def select_elements(df: DataFrame, key: str, html: str, selector: Selector) -> DataFrame:
-    """One row per match: the key, ``position``, ``tag`` and ``text``. Only the two columns named are read."""
-    fields = df.select(key).schema.fields[0]
+        Conditions, any number of them: ``text()='v'``, ``normalize-space()='v'``, ``contains(text(),'v')``, ``@a='v'``, ``contains(@a,'v')``. Anything else raises ValueError.
+        """
+        m = _LOCATOR.fullmatch(locator.strip())
+        if not m or (m["open"] is None) != (m["nth"] is None):
+            raise ValueError(f"not a locator that can be evaluated: {locator!r}")
+        made = cls(tag=None if m["tag"] == "*" else m["tag"].lower(), nth=int(m["nth"]) if m["nth"] else None)
+        for condition in _CONDITION.findall(m["conditions"]):
+            kind, c = next(((k, c) for k, form in _FORMS.items() if (c := form.fullmatch(condition[1:-1].strip()))), (None, None))
+            if kind is None or kind in ("text", "normal_text", "text_has") and getattr(made, kind) is not None:
+                raise ValueError(f"a condition that can't be evaluated, {condition}, in {locator!r}")
+            value = c["value"][1:-1]
+            made = replace(made, **{kind: (*getattr(made, kind), (c["name"].lower(), value)) if kind in ("attrs", "attrs_have") else value})
+        return made
+
+
+_CONDITION = re.compile(r"""\[(?:'[^']*'|"[^"]*"|[^\]'"])*\]""")
+_LOCATOR = re.compile(rf"""(?P<open>\(\s*)?//(?P<tag>\*|[\w-]+)(?P<conditions>(?:{_CONDITION.pattern})*)(?:\s*\)\s*\[\s*(?P<nth>[1-9]\d*)\s*\])?""")
+_NAME, _VALUE = r"@(?P<name>[\w:-]+)", r"""(?P<value>'[^']*'|"[^"]*")"""
+#: What a condition may look like, by the field of Selector that it sets.
+_FORMS = {
+    "text": re.compile(rf"text\(\)\s*=\s*{_VALUE}"),
+    "normal_text": re.compile(rf"normalize-space\(\s*\.?\s*\)\s*=\s*{_VALUE}"),
+    "text_has": re.compile(rf"contains\(\s*text\(\)\s*,\s*{_VALUE}\s*\)"),
+    "attrs": re.compile(rf"{_NAME}\s*=\s*{_VALUE}"),
+    "attrs_have": re.compile(rf"contains\(\s*{_NAME}\s*,\s*{_VALUE}\s*\)"),
+}
+
+
+def select_many(df: DataFrame, key: str, html: str, locators: Mapping[str, Selector]) -> DataFrame:
+    """One row per match of each selector: the key, ``locator`` (its name), ``position``, ``tag`` and ``text``. A page is read once for all of them; only the two columns named are read."""
+    fields = StructType([df.schema[key]]).add("locator", "string").add("position", "long").add("tag", "string").add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = selector.select(text)
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                page = Page(text)
+                found = [(name, *row) for name, s in locators.items() for row in page.select(s)]
                 rows += found
-                keys += [k] * len(found)
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field(0).type), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
-                [key, "position", "tag", "text"],
-            )
-
-    return df.select(key, html).mapInArrow(run, f"`{key}` {fields.dataType.simpleString()}, position long, tag string, text string")
+                at += [i] * len(found)
+            names, positions, tags, texts = list(zip(*rows, strict=True)) or [()] * 4
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(positions, pa.int64()), pa.array(tags, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, fields.names)
+
+    return df.select(key, html).mapInArrow(run, fields)
+
+
+def select_elements(df: DataFrame, key: str, html: str, selector: Selector) -> DataFrame:
+    """One row per match: the key, ``position``, ``tag`` and ``text``."""
+    return select_many(df, key, html, {"": selector}).drop("locator")
+
+
+def has_elements(df: DataFrame, key: str, html: str, locators: Mapping[str, Selector]) -> DataFrame:
+    """One row per row: the key and for each selector, under its name, whether the document has such an element; a search ends at the first. Null texts have none."""
+    fields = StructType([df.schema[key], *(StructField(name, BooleanType()) for name in locators)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[page.has(s) for s in locators.values()] for page in map(Page, batch.column(1).to_pylist())]
+            columns = [pa.array(c, pa.bool_()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.bool_())] * len(locators)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], fields.names)
+
+    return df.select(key, html).mapInArrow(run, fields)

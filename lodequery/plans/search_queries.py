@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.functions.text import make_id, normalize_space, records_found_text
+from lodequery.functions.text import make_id, millis_id, normalize_space, records_found_text
 from lodequery.operators.criteria import Search, any_of, contains, date_range, equals
 from lodequery.operators.summary import any_match, nth_by, record_count
-from lodequery.operators.tree import Selector, select_elements
+from lodequery.operators.tree import Selector, has_elements, select_elements, select_many
 from lodequery.sources.scratch import scratch_folder
-from lodequery.sources.tables import append_row, load_table, write_table
+from lodequery.sources.tables import append_row, insert_once, inserted, load_table, write_table
 
 
 def date_range_count(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,24 @@ def make_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def int_range(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 6).select(F.col("id").alias("i"))
+    """The integers 1 to 5 for each supplier."""
+    return load_table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"))
+
+
+def millis_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids by the clock, which stands at each event's own time here."""
+    return load_table(spark, d, "events").select("event_id", millis_id("EMP", F.col("ts")).alias("employee_id"))
+
+
+def insert_again_then_count(spark: SparkSession, d: str) -> DataFrame:
+    """The customers, and a new one, inserted twice each under one key, as after a failure; then all counted, and the new one found."""
+    customers = load_table(spark, d, "customer").select("c_custkey", "c_name")
+    new = customers.limit(0).transform(append_row, {"c_custkey": -1, "c_name": "Jane Roe"})
+    path = scratch_folder(spark, "customers")
+    for rows, key in ((customers, "all"), (new, "EMP1700000000000"), (new, "EMP1700000000000"), (customers, "all")):
+        insert_once(rows, path, key)
+    table = inserted(spark, path, customers.schema)
+    return record_count(table).select(F.col("records_found").alias("total")).join(record_count(Search().where(c_name=equals("Jane Roe")).apply(table)))
 
 
 def any_event(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +158,9 @@ SELECTORS = {
     "html_by_tag": Selector(tag="h1"),
     "html_text_equals": Selector(tag="a", text="the"),
     "html_normalized_text": Selector(tag="a", normal_text="the"),
-    "html_text_contains": Selector(tag="p", text_has="tion"),
+    "html_text_contains": Selector(tag="h1", text_has="tion"),
+    "html_paragraphs": Selector(tag="p"),
+    "html_opened_again": Selector(tag="b", nth=2),
     "html_attribute_equals": Selector(tag="div", attrs=(("class", "ad"),)),
     "html_attribute_contains": Selector(tag="a", attrs_have=(("href", "/th"),)),
     "html_class_token": Selector(cls="ad"),
@@ -160,6 +179,52 @@ def html_name_equals(spark: SparkSession, d: str) -> DataFrame:
     return select_elements(load_table(spark, d, "pages").select("page_id", form.alias("html")), "page_id", "html", Selector(attrs=(("name", "go"),)))
 
 
+#: Locators as text, all of them looked for in one pass.
+LOCATORS = {
+    "heading": "//h1",
+    "link": "//a[text()='the']",
+    "long_heading": "//h1[contains(text(),'tion')]",
+    "advert": "//div[@class='ad']",
+    "second_item": "(//li)[2]",
+    "route": "//a[contains(@href,'/th')]",
+    "same_route": "(//a[@href='/is'])[2]",
+    "spaced_link": "//a[normalize-space()='the']",
+}
+#: Probes: a page has such an element or not.
+PROBES = {"has_advert": "//div[@class='ad']", "has_third_item": "(//li)[3]", "has_link": "//a[text()='the']", "has_search": "//input[@name='q']"}
+
+
+def html_locators(spark: SparkSession, d: str) -> DataFrame:
+    return select_many(load_table(spark, d, "pages"), "page_id", "html", {k: Selector.xpath(x) for k, x in LOCATORS.items()})
+
+
+def html_probes(spark: SparkSession, d: str) -> DataFrame:
+    return has_elements(load_table(spark, d, "pages"), "page_id", "html", {k: Selector.xpath(x) for k, x in PROBES.items()})
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """A card for each customer, written from the row: a class of two tokens, a name with line breaks, a field of which only some are named vip."""
+    name = F.concat(F.lit("<p>"), F.replace("c_name", F.lit("#"), F.lit("\n\t# ")), F.lit("\n</p>"))
+    field = F.when(F.col("c_custkey") % 3 == 0, F.lit('<input name="vip">')).otherwise(F.lit('<input name="plain" class="vip">'))
+    card = F.concat(F.lit('<div class="card '), F.lower("c_mktsegment"), F.lit('">'), name, field, F.lit("</div>"))
+    return load_table(spark, d, "customer").select("c_custkey", card.alias("html"))
+
+
+def card_class_token(spark: SparkSession, d: str) -> DataFrame:
+    """By one of two class tokens; no class attribute equals it."""
+    return select_elements(_cards(spark, d), "c_custkey", "html", Selector(cls="building"))
+
+
+def card_normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    """By text with line breaks folded; no text node equals it."""
+    return select_elements(_cards(spark, d), "c_custkey", "html", Selector.xpath("//p[normalize-space()='Customer # 000000007']"))
+
+
+def card_name_equals(spark: SparkSession, d: str) -> DataFrame:
+    """By the name attribute, which some cards' fields have with this value, and others as a class."""
+    return select_elements(_cards(spark, d), "c_custkey", "html", Selector(attrs=(("name", "vip"),)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -167,6 +232,7 @@ QUERIES = {
         lookup_name_and_range, open_range_count, full_scan_count, records_found, filter_reset, filter_override,
         append_then_lookup, write_then_lookup, text_contains, text_equals, either_text, make_ids, int_range, any_event, no_event,
         normalized_text, nth_match, page_title, url_contains, html_name_equals,
+        millis_ids, insert_again_then_count, html_locators, html_probes, card_class_token, card_normalized_text, card_name_equals,
     )
 } | {k: _tree(s) for k, s in SELECTORS.items()}
 
@@ -195,7 +261,7 @@ ORACLE = {
     "text_equals": "SELECT n_nationkey, n_name FROM nation WHERE n_name = 'NATION_1'",
     "either_text": "SELECT n_nationkey, n_name FROM nation WHERE contains(n_name, 'NATION_2') OR n_name = 'NATION_1'",
     "make_ids": "SELECT 'EMP' || c_custkey AS employee_id FROM customer",
-    "int_range": "SELECT range AS i FROM range(1, 6)",
+    "int_range": "SELECT s_suppkey, range::INTEGER AS i FROM supplier, range(1, 6)",
     "any_event": "SELECT coalesce(bool_or(coalesce(event_type = 'purchase', false)), false) AS found FROM events",
     "no_event": "SELECT coalesce(bool_or(coalesce(event_type = 'no such type', false)), false) AS found FROM events",
     "normalized_text": "SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text FROM conversations",
@@ -218,12 +284,16 @@ def _elements(tag: str, pattern: str, keep: str = "true", nth: int | None = None
 
 
 #: A paragraph ends at its end tag, at the next paragraph or with the article.
-_PARAGRAPHS = "'<p>' || replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>', '</p><p>') || '</p>'"
+_PARAGRAPHS = "replace('<p>' || replace(replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '</p>', ''), '<p>', '</p><p>') || '</p>', '<p></p>', '')"
+#: The first paragraph leaves a b open, which all text that follows is in, too: the next paragraph's, or else the footer's.
+_BOLD = f"{_PARAGRAPHS} || '<p>' || regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) || '</p>'"
 ORACLE |= {
     "html_by_tag": _elements("h1", "<h1>(.*?)</h1>"),
     "html_text_equals": _elements("a", "<a [^>]*>(.*?)</a>", "x = 'the'"),
     "html_normalized_text": _elements("a", "<a [^>]*>(.*?)</a>", "text = 'the'"),
-    "html_text_contains": _elements("p", "<p>(.*?)</p>", "contains(regexp_extract(x, '^[^<]*'), 'tion')", start=f"replace({_PARAGRAPHS}, '<p></p>', '')"),
+    "html_text_contains": _elements("h1", "<h1>(.*?)</h1>", "contains(x, 'tion')"),
+    "html_paragraphs": _elements("p", "<p>(.*?)</p>", start=_PARAGRAPHS),
+    "html_opened_again": _elements("b", "<p>(.*?)</p>", nth=2, start=_BOLD),
     "html_attribute_equals": _elements("div", '<div class="ad">(.*?)</div>'),
     "html_attribute_contains": _elements("a", '<a href="[^"]*/th[^"]*">(.*?)</a>'),
     "html_class_token": _elements("div", '<div class="ad">(.*?)</div>'),
@@ -231,3 +301,16 @@ ORACLE |= {
     "html_attribute_nth": _elements("a", '<a href="/is">(.*?)</a>', nth=2),
     "html_name_equals": "SELECT page_id, 1::BIGINT AS position, 'button' AS tag, 'Go to ' || page_id AS text FROM pages",
 }
+ORACLE |= {
+    "html_locators": " UNION ALL ".join(
+        f"SELECT page_id, '{name}' AS locator, position, tag, text FROM ({ORACLE[of]})"
+        for name, of in zip(LOCATORS, ("html_by_tag", "html_text_equals", "html_text_contains", "html_attribute_equals", "html_nth", "html_attribute_contains", "html_attribute_nth", "html_normalized_text"), strict=True)
+    ),
+    "html_probes": """SELECT page_id, contains(html, '<div class="ad">') AS has_advert, len(regexp_extract_all(html, '<li>')) > 2 AS has_third_item,
+        regexp_matches(html, '<a [^>]*>the</a>') AS has_link, contains(html, 'name="q"') AS has_search FROM pages""",
+    "card_class_token": "SELECT c_custkey, 1::BIGINT AS position, 'div' AS tag, replace(c_name, '#', ' # ') AS text FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "card_normalized_text": "SELECT c_custkey, 1::BIGINT AS position, 'p' AS tag, replace(c_name, '#', ' # ') AS text FROM customer WHERE c_name = 'Customer#000000007'",
+    "card_name_equals": "SELECT c_custkey, 1::BIGINT AS position, 'input' AS tag, '' AS text FROM customer WHERE c_custkey % 3 = 0",
+    "millis_ids": "SELECT event_id, 'EMP' || (epoch_us(ts) // 1000) AS employee_id FROM events",
+    "insert_again_then_count": "SELECT count(*) + 1 AS total, 1::BIGINT AS records_found FROM customer",
+}

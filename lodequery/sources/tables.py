@@ -1,9 +1,17 @@
-"""Reading and appending tables. A table is one Parquet file or folder named ``<table>.parquet``."""
+"""Reading and appending tables. A table is one Parquet file or folder named ``<table>.parquet``.
+
+A table of inserts is a folder with a folder for each insert, named by its key. An insert is written aside first, where readers don't look, and
+takes effect by a rename; where the key's folder is there already, what was written aside goes. So an insert that is tried again, after whatever failure, leaves
+its rows once, and readers see all of them or none. That holds on file systems whose rename of a folder is one step (local, HDFS).
+"""
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -32,3 +40,25 @@ def append_row(df: DataFrame, row: Mapping[str, object]) -> DataFrame:
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write to Parquet; ``append`` keeps the rows that are there."""
     df.write.mode(mode).parquet(path)
+
+
+def insert_once(df: DataFrame, path: str, key: str) -> bool:
+    """Add the rows of ``df`` to a table of inserts, unless an insert of this key is there; whether they were added."""
+    spark = df.sparkSession
+    name = hashlib.sha256(key.encode()).hexdigest()
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    aside, own = of(f"{path}/_{name}-{uuid.uuid4().hex}"), of(f"{path}/{name}")
+    files = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(own):
+        return False
+    try:
+        df.write.parquet(aside.toString())
+        # Where another one was quicker, a rename fails or moves the folder into the other's, under a name that readers leave out.
+        return files.rename(aside, own) and not files.delete(of(own, aside.getName()), True)
+    finally:
+        files.delete(aside, True)
+
+
+def inserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a table of inserts."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)

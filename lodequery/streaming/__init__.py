@@ -1,4 +1,4 @@
 """Searches over streams."""
-from lodequery.streaming.search import stream_count, stream_search
+from lodequery.streaming.search import stream_count, stream_search, wait_for_rows
 
-__all__ = ["stream_count", "stream_search"]
+__all__ = ["stream_count", "stream_search", "wait_for_rows"]

@@ -2,7 +2,9 @@ import os
 import shutil
 import subprocess
 import sys
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from pathlib import Path
 
@@ -11,11 +13,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from lodequery import plans
-from lodequery.functions.text import normalize_space, now_id, or_false, parse_iso_date, records_found_text
+from lodequery.functions.text import millis_id, normalize_space, now_id, or_false, parse_iso_date, records_found_text
 from lodequery.operators import Search, Selector, any_match, contains, date_range, equals, nth_by, record_count, select_elements, single_value
 from lodequery.sources import scratch
-from lodequery.sources.tables import append_row, load_table, write_table
-from lodequery.streaming import stream_count
+from lodequery.sources.tables import append_row, insert_once, inserted, load_table, write_table
+from lodequery.streaming import stream_count, wait_for_rows
 from tests.conftest import SF
 from tests.oracle import assert_same
 
@@ -222,3 +224,57 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     q = stream_count(spark, str(tmp_path / "in"), events.schema, search).writeStream.outputMode("complete").format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("found").first()[0] == record_count(search.apply(events)).first()[0]
+
+
+def test_ids_by_the_clock(spark):
+    before = int(time.time() * 1000)
+    first, second = (int(spark.range(2).select(now_id("EMP").alias("i")).first().i[3:]) for _ in range(2))
+    assert before <= first <= second <= int(time.time() * 1000) and spark.range(50).select(now_id("E")).distinct().count() == 1
+    df = spark.createDataFrame([(datetime(2024, 1, 10, 1, 2, 3, 456789),), (datetime(1969, 12, 31, 23, 59, 59),), (None,)], "at timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [r[0] for r in df.select(millis_id("E", F.col("at"))).collect()] == ["E1704848523456", "E-1000", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_an_insert_that_is_tried_again_leaves_its_rows_once(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    rows = [spark.createDataFrame([(i, f"n{i}")], "k long, v string") for i in range(3)]
+    got = lambda: sorted(map(tuple, inserted(spark, path, rows[0].schema).collect()))
+    assert insert_once(rows[0], path, "a") and not insert_once(rows[0], path, "a") and got() == [(0, "n0")]
+    assert not insert_once(rows[1], path, "a") and insert_once(rows[1], path, "b/../c é") and got() == [(0, "n0"), (1, "n1")]
+    # What a writer left that was lost before the rename isn't seen, and doesn't stand in the way.
+    rows[2].write.parquet(f"{path}/_{'0' * 64}-lost")
+    assert got() == [(0, "n0"), (1, "n1")] and insert_once(rows[2], path, "c") and got() == [(0, "n0"), (1, "n1"), (2, "n2")]
+    failing = rows[0].select((F.raise_error(F.lit("lost"))).cast("long").alias("k"), "v")
+    with pytest.raises(Exception, match="lost"):
+        insert_once(failing, path, "d")
+    assert insert_once(spark.createDataFrame([(9, None)], "k long, v string"), path, "d") and got()[-1] == (9, None)
+    assert [p.name[0] for p in (tmp_path / "t").iterdir()].count("_") == 1
+
+
+def test_two_inserts_of_one_key_at_once_leave_one(spark, tmp_path):
+    path, key = f"file://{tmp_path}/t", "same"
+    df = spark.createDataFrame([(1, "x")], "k long, v string")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: insert_once(df, path, key), range(4)))
+    assert done.count(True) == 1 and inserted(spark, path, df.schema).count() == 1
+
+
+def test_waiting_ends_with_the_rows_or_the_time(spark, tmp_path):
+    events, folder = load_table(spark, SF, "events"), tmp_path / "in"
+    folder.mkdir()
+    clicks = Search().where(event_type=equals("click"))
+    events.filter("event_type != 'click'").limit(20).write.mode("append").parquet(f"file://{folder}")
+    began = time.monotonic()
+    assert wait_for_rows(spark, str(folder), events.schema, clicks, 4) == 0 and 4 <= time.monotonic() - began < 30
+    late = threading.Timer(3, lambda: events.filter("event_type = 'click'").limit(7).coalesce(1).write.mode("append").parquet(f"file://{folder}"))
+    late.start()
+    began = time.monotonic()
+    assert wait_for_rows(spark, str(folder), events.schema, clicks, 90, rows=5) == 7 and time.monotonic() - began < 60
+    late.join()
+    assert wait_for_rows(spark, str(folder), events.schema, clicks, 60, rows=7) == 7
+    assert not [p for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("wait-*")]
