@@ -9,9 +9,14 @@ fixed points, E(E^-1(x) + 1) with E a Feistel network, so equal entities get equ
 entities of one shape get different ones, and none keeps its value. Card numbers get a valid check digit, addresses valid octets,
 known given names another given name of their gender and script.
 
+Names. The gender of a name is settled once for the corpus: that of the titles it stands after anywhere, if they agree, or else of the list that has it. So
+the same name has one surrogate, whatever title a document gives it.
+
 Collision checks. Surrogates of all distinct entities are compared over the corpus: one that another entity
 has too, or that is itself an entity of the corpus (names aside: given names are few), is drawn again under the next tweak, until
-none collides. Only entities so changed travel back to the documents; commonly there is none.
+none collides. Where more than a quarter of the values that a shape has stand in the corpus, its surrogates are longer by as many characters as bring that below a quarter
+(cards and addresses, whose length is fixed and whose values are many, stay as long as they are). Only a shape all of whose values are there keeps them: its surrogates are distinct, but values of others
+(crowded() counts both). Only entities so changed travel back to the documents; commonly there is none.
 
 Defined results: a null text stays null and has no entities; an entity without variable characters stays as it is; repeated rows get the same
 text; an empty table gives no rows; a very long text is searched whole, one at a time. Columns other than those named are never read, and the columns kept come through unchanged.
@@ -30,7 +35,10 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from lodequery.llm.shared import small_batches, written
 
-ROUNDS, TWEAKS = 6, 8
+#: Rounds of the permutation, and times that a surrogate is drawn again: each time half of those left, or more, find a free value.
+ROUNDS, TWEAKS = 6, 64
+#: A shape with more than this part of its values in the corpus is crowded.
+CROWDED = 0.25
 #: The tweak under which a name's surrogate holds all of the name's own letters, permuted, so that no two names share it.
 LAST = -1
 
@@ -115,40 +123,50 @@ def _mixed(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[
     return out[::-1]
 
 
-def _by_alphabet(text: str, alphabet: dict[str, str], key: bytes, tweak: str, fixed: int = 0) -> str:
-    """Characters after the first ``fixed`` replaced within their alphabets; others stay."""
-    spots = [i for i, c in enumerate(text) if i >= fixed and c in alphabet]
-    found = _mixed([alphabet[text[i]].index(text[i]) for i in spots], [len(alphabet[text[i]]) for i in spots], key, tweak)
+def _spots(kind: str, entity: str) -> list[tuple[int, str]]:
+    """The places of an entity that vary, each with its alphabet; an address has none but its four numbers."""
+    if kind == "ip":
+        return []
+    first, end, alphabet = 0, len(entity), _ALPHABET
+    if kind == "card":
+        end = max(i for i, c in enumerate(entity) if c.isdigit())  # the check digit follows from the others
+    elif kind == "email":
+        end = entity.rindex(".")
+    elif kind == "phone" and entity[0] == "+":
+        first = re.match(r"\+\d{1,3}(?=\D)|\+\d", entity).end()
+    elif kind == "secret" and len(entity) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
+        digits = "0123456789ABCDEF" if entity == entity.upper() else "0123456789abcdef"
+        alphabet = dict.fromkeys(digits, digits)
+    return [(i, alphabet[entity[i]]) for i in range(first, end) if entity[i] in alphabet]
+
+
+def _by_alphabet(text: str, spots: list[tuple[int, str]], key: bytes, tweak: str, more: int = 0) -> str:
+    """Characters at the spots replaced within their alphabets, and ``more`` added after the last of them; others stay."""
+    values, sizes = [a.index(text[i]) for i, a in spots], [len(a) for _, a in spots]
+    found = _mixed(values + [0] * more, sizes + sizes[-1:] * more, key, tweak)
     out = list(text)
-    for i, v in zip(spots, found, strict=True):
-        out[i] = alphabet[text[i]][v]
+    for (i, a), v in zip(spots, found, strict=False):
+        out[i] = a[v]
+    if more:
+        last, a = spots[-1]
+        out[last] += "".join(a[v] for v in found[len(spots) :])
     return "".join(out)
 
 
 @lru_cache(maxsize=1 << 16)
-def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
-    """The replacement of an entity; another one under each tweak."""
-    name = f"{kind}:{tweak}"
-    if kind == "card":
-        digits = [i for i, c in enumerate(entity) if c.isdigit()]
-        body = _by_alphabet("".join(entity[i] for i in digits[:-1]), _ALPHABET, key, name)
-        out = list(entity)
-        for i, c in zip(digits, body + str(_luhn(body)), strict=True):
-            out[i] = c
-        return "".join(out)
+def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0, more: int = 0) -> str:
+    """The replacement of an entity; another one under each tweak; longer by ``more`` characters."""
+    name = f"{kind}:{tweak}:{more}" if more else f"{kind}:{tweak}"
     if kind == "ip":
         return ".".join(map(str, _mixed([int(o) for o in entity.split(".")], [256] * 4, key, name)))
-    if kind == "email":
-        stem, dot, top = entity.rpartition(".")
-        return _by_alphabet(stem, _ALPHABET, key, name) + dot + top
-    if kind == "phone" and entity[0] == "+":
-        return _by_alphabet(entity, _ALPHABET, key, name, fixed=re.match(r"\+\d{1,3}(?=\D)|\+\d", entity).end())
-    if kind == "secret" and len(entity) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
-        digits = "0123456789ABCDEF" if entity == entity.upper() else "0123456789abcdef"
-        return _by_alphabet(entity, dict.fromkeys(digits, digits), key, name)
     if kind.startswith("name") and (given := _given(kind, entity, key, tweak)):
         return given
-    return _by_alphabet(entity, _ALPHABET, key, name)
+    spots = _spots(kind, entity)
+    done = _by_alphabet(entity, spots, key, name, more)
+    if kind == "card":
+        digits = [i for i, c in enumerate(done) if c.isdigit()]
+        done = done[: digits[-1]] + str(_luhn("".join(done[i] for i in digits[:-1]))) + done[digits[-1] + 1 :]
+    return done
 
 
 def _given(kind: str, entity: str, key: bytes, tweak: int) -> str | None:
@@ -164,10 +182,10 @@ def _given(kind: str, entity: str, key: bytes, tweak: int) -> str | None:
         return None
     names, n = GIVEN[group], len(GIVEN[group])
     if i is None or tweak:
-        digest = hashlib.blake2b(f"{kind}:{entity}:{tweak}".encode(), key=hashlib.blake2b(key).digest()).digest()
+        digest = hashlib.blake2b(f"{kind}:{plain}:{tweak}".encode(), key=hashlib.blake2b(key).digest()).digest()
         parts = [names[int.from_bytes(digest[4 * k : 4 * k + 4], "big") % n] for k in range(1 + min(max(tweak, 0), 7))]
         if tweak == LAST:
-            parts.append(_by_alphabet(plain, _ALPHABET, key, f"{kind}:last"))
+            parts.append(_by_alphabet(plain, _spots("name", plain), key, f"{kind}:last"))
         found = "-".join(parts)
         found = found if found != plain else f"{found}-{names[digest[-1] % n]}"
     else:
@@ -175,9 +193,18 @@ def _given(kind: str, entity: str, key: bytes, tweak: int) -> str | None:
     return found.upper() if entity.isupper() and len(entity) > 1 else found
 
 
-def shape(kind: str, entity: str) -> str:
-    """What a surrogate keeps of its entity; entities of one shape have distinct surrogates under one tweak."""
-    return kind if kind == "ip" else kind + ":" + "".join(str(ALPHABETS.index(_ALPHABET[c])) if c in _ALPHABET else f"={c}" for c in entity)
+def shape(kind: str, entity: str) -> tuple[str, float, int]:
+    """(what a surrogate keeps of its entity, how many values there are of it, how many characters the last place has to choose from, 0 for a fixed length).
+
+    Entities of one shape have distinct surrogates under one tweak."""
+    if kind == "ip":
+        return kind, 256.0**4, 0
+    spots = _spots(kind, entity)
+    vary, n = dict(spots), 1.0
+    for _, a in spots:
+        n = min(n * len(a), 1e300)
+    kept = "".join(f"[{vary[i][0]}{len(vary[i])}]" if i in vary else "#" if kind == "card" and c.isdigit() else f"={c}" for i, c in enumerate(entity))
+    return f"{kind}:{kept}", n, len(spots[-1][1]) if spots and kind != "card" else 0
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
@@ -239,54 +266,97 @@ def replaced(text: str | None, key: bytes, drawn_again: dict[tuple[str, str], st
 
 
 def collisions(found: DataFrame, key: bytes, draw=surrogate) -> DataFrame | None:
-    """kind, entity and surrogate of the distinct entities (kind, entity) whose first surrogate collides; None if none does."""
+    """kind, entity and surrogate of the distinct entities (kind, entity) that don't keep their first surrogate; None if all do."""
 
     def drawn(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "tweak")), strict=True)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([draw(k, e, key, t) for k, e, t in rows], pa.string())], [*b.schema.names, "surrogate"])
+                rows = zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "tweak", "more")), strict=True)
+                made = [draw(k, e, key, t, more) if more else draw(k, e, key, t) for k, e, t, more in rows]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, "surrogate"])
 
-        return df.select("kind", "entity", "tweak").mapInArrow(run, "kind string, entity string, tweak int, surrogate string")
+        return df.select("kind", "entity", "tweak", "more", "full").mapInArrow(run, "kind string, entity string, tweak int, more int, full boolean, surrogate string")
 
     kind_of = F.substring_index("kind", ":", 1).alias("type")
-    now = drawn(found.select("kind", "entity", F.lit(0).alias("tweak")))
+    first = found.select("kind", "entity", F.lit(0).alias("tweak"), F.lit(0).alias("more"), F.lit(False).alias("full"))
+    crowds = written(crowded(found), "crowded")
+    if not crowds.isEmpty():
+        of = _shapes(found.filter("kind NOT LIKE 'name%'")).join(crowds, "shape").select("kind", "entity", F.lit(0).alias("tweak"), "more", "full")
+        first = written(first.join(of, ["kind", "entity"], "left_anti").unionByName(of), "first")
+    now = drawn(first)
     for tweak in range(1, TWEAKS + 1):
         bad = written(_colliding(now, found, kind_of), "collisions")
         if bad.isEmpty():
             break
-        redrawn = drawn(now.join(bad, ["kind", "entity"], "left_semi").select("kind", "entity", F.lit(tweak).alias("tweak")))
+        redrawn = drawn(now.join(bad, ["kind", "entity"], "left_semi").withColumn("tweak", F.lit(tweak)))
         now = written(now.join(bad, ["kind", "entity"], "left_anti").unionByName(redrawn), "surrogates")
     else:
         bad = written(_colliding(now, found, kind_of), "collisions")
         if not bad.isEmpty():
-            # All entities of a shape without free values go back to the first tweak, under which they are distinct; names get their own letters.
+            # Shapes of fixed length that are nearly full go back to the first tweak, under which they are distinct; names get their own letters.
             stuck = _shapes(bad.filter("kind NOT LIKE 'name%'")).select("shape").distinct()
             back = _shapes(now.filter("kind NOT LIKE 'name%'")).join(stuck, "shape", "left_semi").select("kind", "entity", F.lit(0).alias("tweak"))
-            back = written(back.unionByName(bad.filter("kind LIKE 'name%'").select("kind", "entity", F.lit(LAST).alias("tweak"))), "stuck")
+            back = back.unionByName(bad.filter("kind LIKE 'name%'").select("kind", "entity", F.lit(LAST).alias("tweak")))
+            back = written(back.withColumns({"more": F.lit(0), "full": F.lit(True)}), "stuck")
             now = written(now.join(back, ["kind", "entity"], "left_anti").unionByName(drawn(back)), "surrogates")
-    again = now.filter("tweak != 0")
+    again = now.filter("tweak != 0 OR more != 0")
     return None if again.isEmpty() else again.select("kind", "entity", "surrogate")
 
 
+def crowded(found: DataFrame) -> DataFrame:
+    """shape, ``entities`` (how many of it are in the corpus), ``possible`` (its values), ``full`` (all are there) and ``more`` (characters that its surrogates have besides) of crowded shapes."""
+    sizes = _shapes(found.filter("kind NOT LIKE 'name%'")).groupBy("shape").agg(F.count(F.lit(1)).alias("entities"), F.first("possible").alias("possible"), F.first("choices").alias("choices"))
+    sizes = sizes.filter(F.col("entities") > CROWDED * F.col("possible")).withColumn("full", F.col("entities") >= F.col("possible"))
+    more = F.ceil(F.log(F.col("entities") / (CROWDED * F.col("possible"))) / F.log("choices")).cast("int")
+    return sizes.select("shape", "entities", "possible", "full", F.when(F.col("full") | (F.col("choices") < 2), 0).otherwise(more).alias("more"))
+
+
 def _colliding(now: DataFrame, found: DataFrame, kind_of) -> DataFrame:
-    """kind and entity of those whose surrogate another one has, or that is an entity itself; of those that share one, the first keeps it."""
-    first = now.groupBy(kind_of, "surrogate").agg(F.min(F.struct("tweak", "kind", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
+    """kind and entity of those whose surrogate another one has, or that is an entity itself; of those that share one, the first keeps it, one of a full shape before others."""
+    first = now.groupBy(kind_of, "surrogate").agg(F.min(F.struct((~F.col("full")).alias("free"), "tweak", "kind", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
     real = found.filter("kind NOT LIKE 'name%'").select(kind_of, F.col("entity").alias("surrogate")).distinct()
     taken = first.filter("n > 1").select("type", "surrogate", F.struct("first.kind", "first.entity").alias("owner"))
     none = F.lit(None).cast("struct<kind:string,entity:string>")
     taken = taken.unionByName(first.join(real, ["type", "surrogate"], "left_semi").select("type", "surrogate", none.alias("owner")))
-    met = now.withColumn("type", kind_of).join(taken, ["type", "surrogate"])
+    met = now.filter("NOT full").withColumn("type", kind_of).join(taken, ["type", "surrogate"])
     return met.filter(~F.struct("kind", "entity").eqNullSafe(F.col("owner")) & (F.col("entity") != F.col("surrogate"))).select("kind", "entity").distinct()
 
 
 def _shapes(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)
-            yield b.append_column("shape", pa.array([shape(k, e) for k, e in rows], pa.string()))
+            rows = [shape(k, e) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], ["kind", "entity", "shape", "possible", "choices"])
+
+    return df.select("kind", "entity").mapInArrow(run, "kind string, entity string, shape string, possible double, choices int")
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """kind and entity with ``as_kind``: for names the kind that the corpus tells, one for each name; otherwise the kind."""
+    told = found.filter("kind LIKE 'name%'").groupBy("entity").agg(F.min(F.when(F.col("kind") != "name", F.col("kind"))).alias("one"), F.max(F.when(F.col("kind") != "name", F.col("kind"))).alias("other"))
+    told = told.select(F.col("entity"), F.when(F.col("one") == F.col("other"), F.col("one")).otherwise(F.lit("name")).alias("as_name"))
+    names = found.filter("kind LIKE 'name%'").join(told, "entity").select("kind", "entity", F.col("as_name").alias("as_kind"))
+    return names.unionByName(found.filter("kind NOT LIKE 'name%'").select("kind", "entity", F.col("kind").alias("as_kind")))
+
+
+def drawn_again(found: DataFrame, key: bytes, draw=surrogate) -> DataFrame | None:
+    """kind, entity and surrogate of the distinct entities of the texts that get another surrogate than their kind and value alone give; None if there is none."""
+    kinds = written(settled(found), "settled")
+    # One to one for all but names.
+    again = collisions(kinds.select(F.col("as_kind").alias("kind"), "entity").distinct(), key, draw)
+    changed = kinds.filter("kind != as_kind")
+    if again is None and changed.isEmpty():
+        return None
+    again = again if again is not None else kinds.select(F.col("as_kind").alias("kind"), "entity", F.lit(None).cast("string").alias("surrogate")).limit(0)
+    both = kinds.join(again.withColumnRenamed("kind", "as_kind"), ["as_kind", "entity"], "left").filter("surrogate IS NOT NULL OR kind != as_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("as_kind", "entity", "surrogate")), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array([s or draw(k, e, key, 0) for k, e, s in rows], pa.string())], ["kind", "entity", "surrogate"])
 
-    return df.select("kind", "entity").mapInArrow(run, "kind string, entity string, shape string")
+    return both.select("kind", "entity", "as_kind", "surrogate").mapInArrow(run, "kind string, entity string, surrogate string")
 
 
 _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType())]))
@@ -316,7 +386,7 @@ def replace_entities(df: DataFrame, text_col: str, key: str, keep: list[str], dr
     # Names of the caller's columns can't clash with those needed here.
     text_col, others = "text", [f"c{i}" for i in range(len(others_shown))]
     rows = df.select(F.col(f"`{shown}`").alias(text_col), *(F.col(f"`{c}`").alias(o) for c, o in zip(others_shown, others, strict=True)))
-    again = collisions(written(distinct_entities(rows, text_col), "entities"), secret, draw)
+    again = drawn_again(written(distinct_entities(rows, text_col), "entities"), secret, draw)
     fields = StructType([*rows.schema, StructField("entities", _SPANS)])
     redrawn_too = again is not None
     if redrawn_too:

@@ -130,3 +130,42 @@ def test_op8_cases(spark):
     assert sorted((r.doc_id or 0, len(r.entities)) for r in got) == [(0, 1), (1, 0), (2, 1), (2, 1), (3, 0), (4, 3000)]
     assert len({r.text for r in got if r.doc_id in (None, 2)}) == 1 and all(r.kinds == "k" for r in got)
     assert pii.replace_entities(df.limit(0), "text", "test", ["doc_id"]).collect() == []
+
+
+def assigned(spark, secrets):
+    """The surrogates of secrets, from texts that have one each."""
+    df = spark.createDataFrame([(i, f"password: {x}") for i, x in enumerate(secrets)], "doc_id long, text string").repartition(3)
+    return [r.text.removeprefix("password: ") for r in sorted(pii.replace_entities(df, "text", "test", ["doc_id"]).collect(), key=lambda r: r.doc_id)]
+
+
+@pytest.mark.parametrize("share", [100, 260, 400, 600, 999])
+def test_crowded_shapes_have_no_real_surrogates(spark, share):
+    real = random.Random(share).sample([f"--------{i:03}" for i in range(1000)], share)
+    new = assigned(spark, real)
+    assert len(set(new)) == share and not set(new) & set(real)
+    assert all(re.fullmatch(r"-{8}\d+", x) and len(x) == 11 + (share > 250) for x in new)
+
+
+def test_a_full_shape_is_distinct_and_counted(spark):
+    real = [f"--------{i:03}" for i in range(1000)]
+    new = assigned(spark, real)
+    assert sorted(new) == real and all(a != b for a, b in zip(real, new, strict=True))
+    found = spark.createDataFrame([("secret", x) for x in real] + [("secret", f"--------{i}") for i in range(5)] + [("ip", "1.2.3.4"), ("name", "Adam"), ("name:m", "Bob")], "kind string, entity string")
+    got = {(r.entities, r.possible, r.full, r.more) for r in pii.crowded(found).collect()}
+    assert got == {(1000, 1000.0, True, 0), (5, 10.0, False, 1)}
+
+
+def test_longer_surrogates_of_mail_stay_mail(spark):
+    real = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    df = spark.createDataFrame([(i, f"to {x} now") for i, x in enumerate(real)], "doc_id long, text string")
+    new = [r.text.split()[1] for r in pii.replace_entities(df, "text", "test", ["doc_id"]).collect()]
+    assert len(set(new)) == len(real) and not set(new) & set(real) and all([k for _, _, k in pii.entities(f"to {x} now")] == ["email"] for x in new)
+
+
+def test_a_name_has_one_surrogate_whatever_title_it_has(spark):
+    rows = [(1, "Frau Jasmin Miller came."), (2, "Dr Jasmin Miller left; Jasmin stayed."), (3, "Ms Jane Roe"), (4, "Dr Jane Roe"), (5, "Mr Kim Roe"), (6, "Ms Kim Roe"), (7, "Prof Kim Roe"), (8, "Mrs JANE ROE"), (9, "Dr Xyz Roe")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text.replace(".", "").replace(";", "").split() for r in pii.replace_entities(df, "text", "test", ["doc_id"]).collect()}
+    assert got[1][1] == got[2][1] == got[2][4] and got[1][1] in pii.GIVEN["f", "latin"] and got[1][2] == got[2][2]
+    assert got[3][1] == got[4][1] and got[3][1] in pii.GIVEN["f", "latin"] and got[5][1] == got[6][1] == got[7][1]
+    assert len({got[i][2] for i in (3, 4, 5, 6, 7, 9)}) == 1 and got[8][1].isupper() and got[9][1] not in ("Xyz", got[3][1])
