@@ -7,8 +7,12 @@ other, and between neighbours in the same container, have capacities that fall w
 maximum flow saturates the cheapest set of edges that parts source and sink; blocks that the source
 still reaches are content. So a short paragraph stays with its neighbours, and an advert in their midst goes.
 
-Class words of a container (and a form around all) are set aside where it holds most of the page's text and no other text is marked as an article: words such as
-"has-comments" or "search-results" then speak of the page, not of that text. The classifier's weights are fixed, as no table has labelled blocks.
+A class name speaks against its container only if it is made of such words alone ("comments", "share-buttons"): "related-work" or "market-share" doesn't. Words that may also
+name a section of an article ("discussion") don't count against prose in one. Class words of a container (and a form around all) are set aside where it holds most of the
+page's text and no other text is marked as an article. The classifier's weights are fixed, as no table has labelled blocks.
+
+Blocks end at block-level elements and nowhere else: a picture, a script, a button or an element of unknown name within a paragraph leaves it whole, and what it holds
+of hidden or skipped text goes without a gap.
 
 Time is linear in the page, but for the cut's rounds (few, as paths are short). Very long pages are taken whole, one at a time.
 
@@ -30,13 +34,15 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lodequery.llm.shared import batched, rows_of, small_batches
 
 # What HTML elements are.
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
-    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head "
+    "header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title textarea template noscript svg iframe object canvas select button option audio video head".split())
+#: Elements whose text is none of the page's; those that hold nothing but text; and those that may lack an end tag.
+SKIPPED = frozenset("script style title textarea template noscript svg iframe object canvas select button datalist option audio video head".split())
 RAW = frozenset("script style title textarea iframe".split())
+UNENDED = frozenset(("head", "option"))
 #: What closes an open element without an end tag.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -46,13 +52,28 @@ AWAY_WORDS = frozenset(
     "ad ads advert advertisement adverts alert announcement banner bottombar breadcrumb breadcrumbs comment comments complementary consent contentinfo "
     "cookie cookies copyright dialog disclaimer discussion feedback footer form legal login masthead menu menubar modal nav navbar navigation "
     "newsletter notice notification notifications outbrain pager pagination paywall popup promo promoted promotion reader recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar "
+    "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar "
     "tracking trending widget widgets".split()
 )
+#: Of these, what may as well be the name of an article's section.
+SOFT_WORDS = frozenset("alert announcement discussion disclaimer feedback legal notice promotion reader recommended related respond search share social tracking trending".split())
+#: Words that leave the meaning of such a word as it is.
+PARTNERS = frozenset(
+    "list lists link links item items box bar area section block container wrapper wrap inner outer holder group row col column grid card cards panel pane module unit slot zone "
+    "frame site page global main top bottom left right header head heading title body content text post posts article articles story stories entry entries button buttons icon "
+    "icons btn input field fields count thread strip tabs tab toggle close fixed sticky floating mobile desktop primary secondary sub user inline".split()
+)
+#: Names of links past the menus.
+SKIP_NAMES = frozenset(("skip", "skip link", "skip links", "skip nav", "skip navigation", "skip to content", "skip content", "skip main"))
+#: What names the top and the bottom of a page, outside its articles.
+EDGE_WORDS = frozenset("header masthead branding tagline bottom".split())
+EDGE_PARTNERS = frozenset("site page global main top wrapper wrap container inner box bar area section app the".split())
 #: First words of class names that tell what else the page has.
 MODIFIERS = frozenset("no not with without has have is".split())
 #: Elements that may stand around a whole page.
 AROUND = frozenset(("form", "fieldset"))
+#: Characters outside links from which a section of an article is prose.
+PROSE = 200
 #: A container with more than this part of the text, and fewer than so many characters marked as an article outside it, isn't boilerplate by its words.
 MOST_TEXT, FEW_MARKED = 0.5, 100
 HERE_WORDS = frozenset("article articlebody body content entry main post story text".split())
@@ -76,6 +97,8 @@ class Node:
     here: bool = False
     away: bool = False  # by what the element is
     away_words: bool = False  # by its class words, or a form
+    soft: bool = False  # by no other than words that may name a section
+    within: bool = False  # itself or an element around it is said to be the content
     text: int = 0  # characters outside links
     marked: int = 0  # of these, in something like an article and nothing that isn't content
     odds: float = 0.0
@@ -93,23 +116,32 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _words(attrs: dict[str, str]) -> set[str]:
-    found = set()
-    for k in ("class", "id", "role", "itemprop", "aria-label"):
-        for token in attrs.get(k, "").split():
-            words = [w.lower() for w in _WORD.findall(token)]
-            if words and words[0] not in MODIFIERS:
-                found.update(words)
-    return found
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class name, id or role; a label is one name."""
+    names = [t for k in ("class", "id", "role", "itemprop") for t in attrs.get(k, "").split()] + [attrs.get("aria-label", "")]
+    found = ([w.lower() for w in _WORD.findall(n) if not w.isdigit()] for n in names)
+    return [words for words in found if words and words[0] not in MODIFIERS]
+
+
+def _made_of(words: list[str], main: frozenset, partners: frozenset) -> bool:
+    return any(w in main for w in words) and all(w in main or w in partners for w in words)
 
 
-def _opened(tag: str, raw: str, parent: Node) -> Node:
-    attrs = _attributes(raw)
-    words = set() if tag in ("html", "body") else _words(attrs)
+def _hidden(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
+def _opened(tag: str, attrs: dict[str, str], parent: Node) -> Node:
+    names = [] if tag in ("html", "body") else _names(attrs)
     article = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-    hidden = parent.hidden or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+    here = any(w in HERE_WORDS for words in names for w in words)
     away = tag in AWAY_TAGS and tag not in AROUND or tag == "header" and not parent.in_article
-    return Node(tag, hidden, parent.depth + 1, parent, parent.in_article or article, article, bool(words & HERE_WORDS), away, tag in AROUND or bool(words & AWAY_WORDS))
+    against = [words for words in names if _made_of(words, AWAY_WORDS, PARTNERS) or " ".join(words) in SKIP_NAMES]
+    if not (parent.in_article or parent.within or here):
+        against += [words for words in names if _made_of(words, EDGE_WORDS, EDGE_PARTNERS)]
+    soft = bool(against) and tag not in AROUND and all(len(words) == 1 and words[0] in SOFT_WORDS for words in against)
+    within = parent.within or here or article
+    return Node(tag, parent.hidden or _hidden(tag, attrs), parent.depth + 1, parent, parent.in_article or article, article, here, away, tag in AROUND or bool(against), soft, within)
 
 
 def _judge(nodes: list[Node], found: list[Block]) -> None:
@@ -128,13 +160,39 @@ def _judge(nodes: list[Node], found: list[Block]) -> None:
     root = nodes[0]
     for e in nodes[1:]:
         around = e.text > MOST_TEXT * root.text and root.marked - e.marked < FEW_MARKED
-        if e.away or e.away_words and not around:
+        prose = e.soft and e.parent.in_article and e.text >= PROSE
+        if e.away or e.away_words and not around and not prose:
             e.odds = min(e.parent.odds, 0.0) - 5.0
         else:
             good = 0.0 if e.parent.odds <= -5.0 else 3.0 if e.article else 1.0 if e.here else 0.0  # nothing in boilerplate is made good by its name
             e.odds = e.parent.odds + good
 
 
+def _raw_end(page: str, at: int, name: str) -> int:
+    """Where an element ends that holds nothing but text."""
+    end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _past(page: str, at: int, name: str) -> int:
+    """Where an inline element ends: at its end tag, or before that of a block around it."""
+    depth, opened = 1, Counter()
+    while m := _TAG.search(page, at):
+        at, found = m.end(), (m[2] or m[5] or "").lower()
+        closing = m[1] or m[4]
+        if found == name:
+            depth += -1 if closing else 1
+            if not depth:
+                return at
+        elif found in RAW and not closing:
+            at = _raw_end(page, at, found)
+        elif found in BLOCKS and found not in VOID:
+            if closing and not opened[found]:
+                return m.start()
+            opened[found] += -1 if closing else 1
+    return len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order."""
     page = page or ""
@@ -170,11 +228,17 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         closing, raw = (m[1], m[3]) if m[2] else (m[4], m[6])
-        if name in INLINE:
-            if name == "a":
-                in_link = not closing
-            elif name == "br":
+        if name not in BLOCKS:
+            if name == "br":
                 say(" ")
+            if name in VOID:
+                continue
+            if name in RAW and not closing:
+                at = _raw_end(page, at, name)
+            elif not closing and (name in SKIPPED or "hidden" in raw or "none" in raw) and not raw.endswith("/") and _hidden(name, _attributes(raw)):
+                at = _past(page, at, name)
+            elif name == "a":
+                in_link = not closing
             continue
         flush()
         if closing:
@@ -184,7 +248,7 @@ def blocks(page: str | None) -> list[Block]:
                 if stop:
                     break
             continue
-        if name in VOID or raw.endswith("/") and name in SKIPPED:
+        if name in VOID:
             continue
         for tag in CLOSES.get(name, ("p", *HEADINGS)):
             if node.tag == tag and node.parent is not None:
@@ -197,11 +261,7 @@ def blocks(page: str | None) -> list[Block]:
             while node.parent is not None and node.tag != "html":
                 is_open[node.tag] -= 1
                 node = node.parent
-        if name in RAW:
-            end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        node = _opened(name, raw, node)
+        node = _opened(name, _attributes(raw), node)
         nodes.append(node)
         is_open[name] += 1
     say(page[at:])

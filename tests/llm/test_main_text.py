@@ -101,3 +101,67 @@ def test_op7_cases(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in main_text.extract(df, "page_id", "html", ["url"]).collect()), key=repr)
     assert got == sorted(((i, u, main_text.main_text(h), len(main_text.main_text(h))) for i, h, u, _ in rows), key=repr)
     assert main_text.extract(df.limit(0), "page_id", "html", ["url"]).collect() == []
+
+
+SECTION = "<h2>Part</h2><p>" + "Findings of earlier years are set out here, one after the other, in full. " * 4 + "</p><p>" + "They agree in most points, though not in all of them, as will be seen below. " * 4 + "</p>"
+SECTION_TEXT = ["Part", ("Findings of earlier years are set out here, one after the other, in full. " * 4).strip(), ("They agree in most points, though not in all of them, as will be seen below. " * 4).strip()]
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-policy", "market-share", "reader-letters", "search-engines", "skip-list", "legal-history", "alert-systems", "forms", "discussion", "legal", "sharedMemory", "ad-hoc", "notice-and-comment", "nav-mesh"])
+def test_sections_of_an_article_stay(name):
+    page = f'<article><h1>Head</h1><p>{LONG}</p><section class="{name}">{SECTION}</section><p>{LONG}</p></article>'
+    assert main_text.main_text(page).split("\n") == ["Head", LONG.strip(), *SECTION_TEXT, LONG.strip()]
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("See <svg><title>x</title><path d='M0'/><text>svg</text></svg> the icon and <script>if (a < b) '</p>'</script>then more", "See the icon and then more"),
+    ("Press <button type=button>Go <i>now</i></button>or wait", "Press or wait"), ("One <noscript><img src=a><p>x</p></noscript>two", "One two"),
+    ("A <picture><source srcset=a><img src=b></picture> picture", "A picture"), ("An <object data=x>old</object>object", "An object"), ("Sum: <output>12</output> of it", "Sum: 12 of it"),
+    ("At <meter value=1>half</meter> height", "At half height"), ("The <ruby>kan<rt>read</rt></ruby> sign", "The kanread sign"), ("An <x-term lang=en>own</x-term> element", "An own element"),
+    ("No <span hidden>secret <b>and</b> <span>more</span></span>secret", "No secret"), ("Not <i aria-hidden=true>*</i>marked", "Not marked"), ("Out <span style='color:red; display: none'>gone</span>of sight", "Out of sight"),
+    ("Pick <select><option>a<option>b</select>one", "Pick one"), ("A <iframe src=x><p>old</p></iframe>frame", "A frame"), ("Left <span hidden>open", "Left"),
+])
+def test_a_paragraph_stays_whole(inside, want):
+    page = f"<article><p>{LONG}</p><p>{inside}</p><p>{LONG}</p></article>"
+    assert main_text.main_text(page).split("\n") == [LONG.strip(), want, LONG.strip()]
+
+
+#: What stands around an article, in hand-made layouts: all of it goes.
+AROUND = {
+    "header by id": '<div id="header"><h1>My Site</h1><p>Tagline of the whole site, about this and that, with a full stop.</p></div>{}<div id="bottom">All rights reserved by the owners of this site. Do not copy.</div>',
+    "header by class": '<div class="site-header"><p>Welcome to the site of many things, dear visitors.</p></div>{}',
+    "header by element": "<header><p>Welcome to the site of many things, dear visitors.</p></header>{}",
+    "masthead": '<div class="masthead"><h1>The Daily Paper</h1></div>{}',
+    "page top": '<div class="page-header"><a href="/">Home</a> <h2>Paper</h2></div>{}<div class="page-bottom">Printed by the printers, in the year of print.</div>',
+    "share inside": '<div>{}</div><div class="share-buttons"><p>Share this with all of your friends, today.</p></div>',
+    "related list": '{}<div class="related-posts"><ul><li><a href=a>Another story of length</a></li><li><a href=b>One more</a></li></ul></div>',
+    "comments": '{}<div class="comment-list"><p>I think that this is right, and so does everyone I know around here.</p></div>',
+    "reader comments": '{}<section id="reader-comments"><p>I think that this is right, and so does everyone I know around here.</p></section>',
+    "sidebar": '<div class="left-sidebar"><p>About the author, who has written a lot of things over the years.</p></div>{}',
+    "cookie bar": '<div id="cookie-banner"><p>We use cookies to make this site work. You may accept them.</p></div>{}',
+    "newsletter": '{}<div class="newsletter-signup"><p>Get our letter, every week, for nothing. Sign up here.</p></div>',
+    "skip link": '<a class="skip-link" href="#x">Skip</a><div class="skip-to-content"><p>Skip all of this and go on to the content, please.</p></div>{}',
+    "breadcrumbs": '<div class="breadcrumbs">You are here: home, news, today.</div>{}',
+    "hidden": "{}<div hidden><p>This is not shown to anyone who reads this page here.</p></div>",
+    "menu role": '<div role="navigation"><p>Places to go on this site, in order of their names.</p></div>{}',
+    "label": '<section aria-label="Related articles"><p>More of the same can be found in these, one and all.</p></section>{}',
+    "form": '{}<form action="/s"><p>Write to us, and we write back to you, some day.</p><input name=q></form>',
+    "dialog": '<div role="dialog"><p>Your session will end in a short while, so be quick.</p></div>{}',
+    "copyright": '{}<p class="copyright">Owned by the owners, who own all of it, for ever.</p>',
+    "sponsor": '{}<div class="sponsored-content"><p>This soap is the best of soaps, so buy it now, today.</p></div>',
+    "pager": '{}<div class="pagination"><a href=1>1</a> <a href=2>2</a></div>',
+}
+
+
+@pytest.mark.parametrize("layout", AROUND)
+@pytest.mark.parametrize("box", ["<article>{}</article>", '<div class="content">{}</div>', "<main>{}</main>", '<div id="post-12"><div class="post-header"><h1>Head</h1></div>{}</div>'])
+def test_what_stands_around_an_article_goes(layout, box):
+    body = f"<p>{LONG}</p><p>Tiny.</p><p>{LONG}</p>"
+    text = main_text.main_text("<html><head><title>T</title><body>" + AROUND[layout].format(box.format(body)) + "</body></html>")
+    assert text.split("\n") == (["Head"] if "post-header" in box else []) + [LONG.strip(), "Tiny.", LONG.strip()]
+
+
+def test_what_is_inserted_in_an_article_goes():
+    inserted = '<div class="ad">Buy now, it is good. Really good, they say.</div><div class="share-bar"><p>Share this with friends, do it now.</p></div><aside><p>Also read that other one.</p></aside><div class="social-links"><a href=a>X</a></div>'
+    page = f"<article><p>{LONG}</p>{inserted}<p>{LONG}</p></article>"
+    assert main_text.main_text(page).split("\n") == [LONG.strip()] * 2
