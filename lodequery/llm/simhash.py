@@ -187,6 +187,8 @@ LANES, LANE_BITS, LANE_RADIUS, WIDE = 8, 40, 2, 8
 SAMPLE_TEXTS, SAMPLE_SHINGLES = 20_000, 1_000
 #: Nodes that share a shingle of their prefixes beyond which their pairs are looked at by parity bits, of which there are so many.
 CROWD, BITS = 32, 512
+#: Pairs of one node that are compared where its set is.
+HUB_PAIRS = 256
 #: Pairs held before those of equal nodes are added up.
 _PAIRS_AT_ONCE = 1 << 18
 
@@ -322,10 +324,22 @@ def _pairs(prefixes: DataFrame, part: DataFrame, limit: Fraction) -> DataFrame:
     few = found.filter("n > 0").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b")
     # Members of crowds: node, shingle and component stand in a, b and need.
     crowds = found.filter("n = 0").select(F.col("a").alias("node"), F.col("b").alias("shingle"), F.col("need").alias("component"))
-    return few.unionByName(_crowded(crowds.join(prefixes.select("node", "size", "parity"), "node"), limit))
+    return few.unionByName(_crowded(crowds, prefixes, limit))
 
 
-def _crowded(rows: DataFrame, limit: Fraction) -> DataFrame:
+def dealt_crowds(crowds: DataFrame, chunk: int) -> DataFrame:
+    """``group``, node, component and ``side`` of the members (node, shingle, component) of crowds, by pairs of chunks of about ``chunk`` nodes.
+
+    Any two members of a crowd meet in one group: of sides 0 and 1, or both of side 2. No group has more than about two chunks, whatever the crowd's size.
+    """
+    n = crowds.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    own = crowds.join(n, "shingle").withColumn("k", F.ceil(F.col("n") / chunk).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("k")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).cast("long")
+    return each.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "node", "component", side.alias("side"))
+
+
+def _crowded(crowds: DataFrame, prefixes: DataFrame, limit: Fraction) -> DataFrame:
     """Pairs a, b of nodes of different components that share a shingle, as far as their parity bits allow for this similarity.
 
     Sets of n and m shingles at a similarity of t or more differ in (1 - t) / (1 + t) * (n + m) shingles at most, and their parity bits in no more bits.
@@ -333,14 +347,14 @@ def _crowded(rows: DataFrame, limit: Fraction) -> DataFrame:
     p, q = limit.numerator, limit.denominator
 
     def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shingle, node, component, size, bits = rows
+        group, node, component, side, size, bits = rows
         here, shift, held = np.arange(len(node)), 0, [np.zeros((0, 2), np.int64)]
         while len(here):
             shift += 1
             here = here[here + shift < len(node)]
-            here = here[(shingle[here] == shingle[here + shift]) & (q * size[here] >= p * size[here + shift])]
+            here = here[(group[here] == group[here + shift]) & (q * size[here] >= p * size[here + shift])]
             x, y = here, here + shift
-            apart = component[x] != component[y]
+            apart = (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] == 2))
             x, y = x[apart], y[apart]
             near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * (size[x] + size[y])
             x, y = x[near], y[near]
@@ -348,7 +362,8 @@ def _crowded(rows: DataFrame, limit: Fraction) -> DataFrame:
         ab = np.unique(np.concatenate(held), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ab.T], ["a", "b"])
 
-    together = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node").select("shingle", "node", "component", "size", "parity")
+    rows = dealt_crowds(crowds, CHUNK).join(prefixes.select("node", "size", "parity"), "node")
+    together = rows.repartition("group").sortWithinPartitions("group", "size", "node").select("group", "node", "component", "side", "size", "parity")
     return together.mapInArrow(_by_group(met), "a long, b long")
 
 
@@ -393,26 +408,55 @@ def _with_hubs(prefixes: DataFrame, found: DataFrame, limit: Fraction) -> DataFr
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataFrame:
-    """Those of the pairs a, b whose shingle sets have at least this Jaccard similarity. Only texts of nodes in pairs are moved."""
+    """Those of the pairs a, b whose shingle sets have at least this Jaccard similarity.
+
+    Only sets of nodes in pairs are moved, as sorted hashes. The node of a pair that is in more pairs stays where its set is, with up to about HUB_PAIRS of
+    its pairs to a group, and the other's set comes to it: a set that is in many pairs travels once a group, not once a pair.
+    """
     pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes, "node").select("node", F.col("best.uid").alias("_uid")), "wanted")
-    moved = written(texts.select("_uid", F.col(f"`{text_col}`").alias("t")).join(wanted, "_uid").select("node", "t"), "texts")
+    degrees = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    wanted = degrees.join(nodes, "node").select("node", F.col("best.uid").alias("_uid"))
+    of = texts.select("_uid", F.col(f"`{text_col}`").alias("t")).join(wanted, "_uid").select("node", "t")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_of(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    sets = written(of.mapInArrow(hashed, "node long, set binary"), "sets")
+    of_a, of_b = (degrees.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab")
+    hub = F.col("da") > F.col("db")
+    placed = pairs.join(of_a, "a").join(of_b, "b").select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("da", "db").alias("n"))
+    placed = written(placed.select("hub", F.pmod(F.xxhash64("other", F.lit(SEED)), F.ceil(F.col("n") / HUB_PAIRS)).cast("int").alias("part"), "other"), "placed")
+    others = placed.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "part", "other", "set")
+    hubs = placed.select("hub", "part").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("other"), "set")
+    # A group's hub comes first.
+    together = others.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, s = None, set()
+        mine = np.zeros(0, np.uint64)
         for b in batches:
-            near = []
-            for a, t, u in zip(*(b.column(c).to_pylist() for c in ("a", "t", "u")), strict=True):
-                if a != last:
-                    last, s = a, set(shingles(words(t), k))
-                other = set(shingles(words(u), k))
-                both = len(s & other)
-                near.append(both * limit.denominator >= limit.numerator * (len(s) + len(other) - both))
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    first, second = moved.select(F.col("node").alias("a"), "t"), moved.select(F.col("node").alias("b"), F.col("t").alias("u"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long")
+            a_out, b_out = [], []
+            for here, other, s in zip(*(b.column(c).to_pylist() for c in ("hub", "other", "set")), strict=True):
+                theirs = np.frombuffer(s, np.uint64)
+                if other is None:
+                    mine = theirs
+                    continue
+                both = _common_of(mine, theirs)
+                if both * limit.denominator >= limit.numerator * (len(mine) + len(theirs) - both):
+                    a_out.append(min(here, other))
+                    b_out.append(max(here, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _common_of(s: np.ndarray, t: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    if not len(s):
+        return 0
+    at = np.searchsorted(t, s)
+    return int((t[np.minimum(at, len(t) - 1)] == s).sum())
 
 
 def drop_near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
+from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodequery.llm import simhash
@@ -69,9 +72,11 @@ def test_stage_against_exact_components(spark):
     assert got == least_of_components({r.doc_id: set(simhash.shingles(simhash.words(r.text), 5)) for r in docs.collect()})
 
 
-def test_a_family_without_its_base(spark, monkeypatch):
+@pytest.mark.parametrize("chunk, pairs", [(simhash.CHUNK, simhash.HUB_PAIRS), (8, 4)])
+def test_a_family_without_its_base(spark, monkeypatch, chunk, pairs):
     """Copies with up to four changed words each, near to some of the others only; a few share so many shingles that they make crowds."""
-    monkeypatch.setattr(simhash, "CROWD", 5)
+    for name, value in (("CROWD", 5), ("CHUNK", chunk), ("HUB_PAIRS", pairs)):
+        monkeypatch.setattr(simhash, name, value)
     r = random.Random(12)
     base, texts = fresh(r, 150), []
     for _ in range(150):
@@ -84,6 +89,30 @@ def test_a_family_without_its_base(spark, monkeypatch):
     assert got == want
 
 
+def test_a_crowd_of_20000_is_spread_over_tasks(spark):
+    r, n = np.random.default_rng(3), 20_000
+    parity, size = r.integers(0, 2**64, (n, simhash.BITS // 64), np.uint64), r.integers(300, 330, n)
+    planted = [(2 * i, 2 * i + 1) for i in range(0, n // 2, 50)]
+    for a, b in planted:  # alike but for a few bits
+        parity[b] = parity[a] ^ np.uint64(1 << int(r.integers(0, 60)))
+    prefixes = spark.createDataFrame([(i, int(size[i]), parity[i].tobytes()) for i in range(n)], "node long, size long, parity binary")
+    crowds = spark.createDataFrame([(i, 77, i if i != 100 else 101) for i in range(n)], "node long, shingle long, component long").repartition(4)
+    got = sorted(map(tuple, simhash._crowded(crowds, prefixes, Fraction(4, 5)).collect()))
+    assert got == sorted(p for p in planted if p != (100, 101))  # those two are of one component already
+    dealt = simhash.dealt_crowds(crowds, simhash.CHUNK)
+    counts = [x["count"] for x in dealt.groupBy("group").count().collect()]
+    assert len(counts) == 55 and max(counts) < 2.3 * simhash.CHUNK and dealt.filter("side = 2").count() == n
+    tasks = dealt.repartition(16, "group").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10
+
+
+def test_common_numbers_of_sorted_sets():
+    r = random.Random(1)
+    for _ in range(200):
+        s, t = (sorted(r.sample(range(30), r.randint(0, 20))) for _ in range(2))
+        assert simhash._common_of(np.array(s, np.uint64), np.array(t, np.uint64)) == len(set(s) & set(t))
+
+
 def test_columns_named_as_those_within(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 2, "x", 3), (2, "a b c d e f", 2, "y", 4)], "doc_id long, text string, _uid long, _lane0 string, c0 long")
     got = simhash.drop_near_copies(df, "doc_id", "text")
