@@ -1,6 +1,12 @@
-"""Folders that the driver and all executors see, for what is written between steps."""
+"""Folders that the driver and all executors see, for what is written between steps.
+
+Results may be read from them as long as the session lives, so they go when it has ended: with the driver's process, or by remove_all() before.
+What a killed driver leaves stays in the folder of its application.
+"""
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,12 +37,34 @@ def qualified(spark: SparkSession, root: str) -> str:
     return root.rstrip("/")
 
 
+#: Folders that scratch_folder() has named, with a session of theirs.
+_made: dict[str, SparkSession] = {}
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own under the shared folder; what is written to it is removed at the end."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def remove_all() -> int:
+    """Remove the folders named so far; how many there were. Results that are read from them can't be read any more."""
+    n = 0
+    while _made:
+        path, spark = _made.popitem()
+        n += remove(spark, path)
+    return n
+
+
+@atexit.register
+def _at_end() -> None:
+    with contextlib.suppress(Exception):  # the Java side may be gone already
+        remove_all()
 
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder with all that is in it, on whatever file system; whether there was one."""
+    _made.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)

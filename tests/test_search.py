@@ -211,6 +211,30 @@ def test_the_shared_folder(spark):
     assert scratch.remove(spark, folder) and not scratch.remove(spark, folder)
 
 
+ENDING = """
+import sys
+from pyspark.sql import SparkSession
+from lodequery import plans
+from lodequery.sources import scratch
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+for name in ("write_then_lookup", "insert_again_then_count"):
+    assert plans.QUERIES[name](spark, sys.argv[2]).count() == 1
+print("before", len(scratch._made), scratch.remove_all() if sys.argv[3] == "now" else "")
+plans.QUERIES["write_then_lookup"](spark, sys.argv[2]).collect()
+if sys.argv[3] == "stopped":
+    spark.stop()
+"""
+
+
+@pytest.mark.parametrize("how", ["now", "open", "stopped"])
+def test_nothing_is_left_in_the_shared_folder(tmp_path, how):
+    root = Path(driver.__file__).parent
+    (tmp_path / "shared").mkdir()
+    done = subprocess.run([sys.executable, "-c", ENDING, f"file://{tmp_path}/shared", SF, how], cwd=root, check=True, timeout=240, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(root)})
+    assert done.stdout.split()[:3] == (["before", "2", "2"] if how == "now" else ["before", "2"])
+    assert not [p for p in (tmp_path / "shared").iterdir() if p.name.startswith(("region-", "customers-"))]
+
+
 def test_select_elements(spark):
     df = spark.createDataFrame([(1, HTML, "x"), (2, None, "y"), (3, "", "z")], "page_id long, html string, position string")
     got = select_elements(df, "page_id", "html", Selector(tag="p", nth=1)).collect()
