@@ -187,7 +187,7 @@ LANES, LANE_BITS, LANE_RADIUS, WIDE = 8, 40, 2, 8
 SAMPLE_TEXTS, SAMPLE_SHINGLES = 20_000, 1_000
 #: Nodes that share a shingle of their prefixes beyond which their pairs are looked at by parity bits, of which there are so many.
 CROWD, BITS = 32, 512
-#: Pairs of one node that are compared where its set is.
+#: Pairs of one node that are compared where its text is.
 HUB_PAIRS = 256
 #: Pairs held before those of equal nodes are added up.
 _PAIRS_AT_ONCE = 1 << 18
@@ -410,25 +410,20 @@ def _with_hubs(prefixes: DataFrame, found: DataFrame, limit: Fraction) -> DataFr
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str, k: int, limit: Fraction) -> DataFrame:
     """Those of the pairs a, b whose shingle sets have at least this Jaccard similarity.
 
-    Only sets of nodes in pairs are moved, as sorted hashes. The node of a pair that is in more pairs stays where its set is, with up to about HUB_PAIRS of
-    its pairs to a group, and the other's set comes to it: a set that is in many pairs travels once a group, not once a pair.
+    Only texts of nodes in pairs are moved. The node of a pair that is in more pairs stays where its text is, with up to about HUB_PAIRS of
+    its pairs to a group, and the other's text comes to it: a text that is in many pairs travels, and is cut into shingles, once a group, not once a pair.
+    (Texts take less room than the hashes of their shingles, which don't compress.) Sets are compared as sorted hashes of 64 bits.
     """
     pairs = written(pairs.distinct(), "pairs")
     degrees = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     wanted = degrees.join(nodes, "node").select("node", F.col("best.uid").alias("_uid"))
-    of = texts.select("_uid", F.col(f"`{text_col}`").alias("t")).join(wanted, "_uid").select("node", "t")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_of(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
-
-    sets = written(of.mapInArrow(hashed, "node long, set binary"), "sets")
+    moved = written(texts.select("_uid", F.col(f"`{text_col}`").alias("t")).join(wanted, "_uid").select("node", "t"), "texts")
     of_a, of_b = (degrees.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab")
     hub = F.col("da") > F.col("db")
     placed = pairs.join(of_a, "a").join(of_b, "b").select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("da", "db").alias("n"))
     placed = written(placed.select("hub", F.pmod(F.xxhash64("other", F.lit(SEED)), F.ceil(F.col("n") / HUB_PAIRS)).cast("int").alias("part"), "other"), "placed")
-    others = placed.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "part", "other", "set")
-    hubs = placed.select("hub", "part").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("other"), "set")
+    others = placed.join(moved.withColumnRenamed("node", "other"), "other").select("hub", "part", "other", "t")
+    hubs = placed.select("hub", "part").distinct().join(moved.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("other"), "t")
     # A group's hub comes first.
     together = others.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
 
@@ -436,8 +431,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str
         mine = np.zeros(0, np.uint64)
         for b in batches:
             a_out, b_out = [], []
-            for here, other, s in zip(*(b.column(c).to_pylist() for c in ("hub", "other", "set")), strict=True):
-                theirs = np.frombuffer(s, np.uint64)
+            for here, other, t in zip(*(b.column(c).to_pylist() for c in ("hub", "other", "t")), strict=True):
+                theirs = _set_of(t, k)
                 if other is None:
                     mine = theirs
                     continue
