@@ -8,7 +8,8 @@ have, and each document's key and number of ids, in the order of their keys. Dec
 the counts' running sum places every word's ids, one selector at a time.
 
 Files come from range partitions, so file order is key order; where a file starts among all ids is the sum
-over the files before it, of which there is one row a file.
+over the files before it, of which there is one row a file. The number of tasks follows the texts' bytes, and a task begins a new file after
+FILE_DOCS documents or FILE_IDS ids, so footers stay small. Rows of one key (or of none) are dealt by the beginnings of their texts, too.
 
 Defined results: a null text is an empty one and has only the end id; null keys come first; rows with equal keys stand in the
 order of their texts; an empty table makes no files and no rows; a very long text is encoded whole, its ids going over as many blocks as they need.
@@ -30,6 +31,10 @@ from lodequery.llm.token_ids import token_ids
 
 MAGIC = b"S8BLOCK1"
 BLOCK = 1 << 16
+#: A file has so many documents at most, and begins no further one after so many ids; a task has about so many bytes of text.
+FILE_DOCS, FILE_IDS, TASK_BYTES = 1_000_000, 1 << 28, 1 << 28
+#: Documents whose footer entries are Python objects at a time, and code points of a text that tell rows of one key apart.
+FOOTER_DOCS, PREFIX = 1 << 16, 32
 #: The packings of 60 bits, most ids first; the last selector is the escape.
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64])
@@ -86,12 +91,17 @@ def decode_block(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: A document in a footer.
+_DOCS = pa.schema([("key", pa.int64()), ("n_ids", pa.int64())])
+
+
 class Writer:
     """Appends documents' ids to a stream, a block at a time."""
 
     def __init__(self, stream):
         self._out, self._held, self._n_held, self.n_ids = stream, [], 0, 0
         self._blocks, self._keys, self._counts, self._at = [], [], [], len(MAGIC)
+        self._listed: list[pa.RecordBatch] = []
         stream.write(MAGIC)
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
@@ -102,6 +112,12 @@ class Writer:
         self.n_ids += len(ids)
         if self._n_held >= BLOCK:
             self._flush(False)
+        if len(self._keys) == FOOTER_DOCS:
+            self._list()
+
+    def _list(self) -> None:
+        self._listed.append(pa.RecordBatch.from_arrays([pa.array(self._keys, pa.int64()), pa.array(self._counts, pa.int64())], schema=_DOCS))
+        self._keys, self._counts = [], []
 
     def _flush(self, rest: bool) -> None:
         ids = np.concatenate(self._held) if self._held else np.zeros(0, np.uint64)
@@ -115,9 +131,10 @@ class Writer:
     def close(self) -> None:
         if self._n_held:
             self._flush(True)
+        self._list()
         footer = pa.BufferOutputStream()
         tables = (
-            pa.table({"key": pa.array(self._keys, pa.int64()), "n_ids": pa.array(self._counts, pa.int64())}),
+            pa.Table.from_batches(self._listed),
             pa.table(dict(zip(("at", "words", "escapes"), (pa.array(c, pa.int64()) for c in (zip(*self._blocks, strict=True) if self._blocks else ([], [], []))), strict=True))),
         )
         for t in tables:
@@ -144,7 +161,7 @@ class Reader:
         footer = pa.py_buffer(file.read(length))
         source = pa.BufferReader(footer)
         docs, blocks = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
-        self.keys, self.counts = docs["key"].to_pylist(), docs["n_ids"].to_numpy()
+        self.keys, self.counts = docs["key"], docs["n_ids"].to_numpy()
         self.starts = np.cumsum(self.counts) - self.counts
         self._blocks = list(zip(*(blocks[c].to_pylist() for c in ("at", "words", "escapes")), strict=True))
         self.n_ids = int(self.counts.sum())
@@ -165,40 +182,48 @@ class Reader:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(key, place of its first id in the file, ids) in file order."""
-        for key, start, n in zip(self.keys, self.starts.tolist(), self.counts.tolist(), strict=True):
-            yield key, start, self.ids(start, n)
+        for a in range(0, len(self.keys), FOOTER_DOCS):
+            part = slice(a, a + FOOTER_DOCS)
+            for key, start, n in zip(self.keys[part].to_pylist(), self.starts[part].tolist(), self.counts[part].tolist(), strict=True):
+                yield key, start, self.ids(start, n)
 
 
 def write_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, kind: str, end_id: int | None, folder: str) -> list[tuple[str, int, int]]:
     """Encode every text, append end_id, and write files in ascending order of id_col (an integer); (file, documents, ids) of each, in order.
 
-    One shuffle, by ranges of the key. A task writes under a name of its own and only the names that come
+    One shuffle, by ranges of the key and the beginning of the text. A task writes under names of its own and only the names that come
     back from tasks that ended well are used, so lost executors and repeated tasks leave nothing in the result.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, stream = token_ids(tokenizer, kind), None, None
+        encoder, task, number = token_ids(tokenizer, kind), TaskContext.get().partitionId(), 0
         last = np.zeros(0, np.uint64) if end_id is None else np.array([end_id], np.uint64)
-        name, docs = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b", 0
-        for b in batches:
-            if writer is None and b.num_rows:
-                fs, path = filesystem(folder)
-                fs.create_dir(path, recursive=True)
-                stream = fs.open_output_stream(f"{path}/{name}")
+        fs, path = filesystem(folder)
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist()), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            name, docs = f"{task:08d}-{number:06d}-{uuid.uuid4().hex}.s8b", 0
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{name}") as stream:
                 writer = Writer(stream)
-            for key, ids in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist()), strict=True):
-                writer.add(key, np.concatenate([np.frombuffer(ids, "<u4").astype(np.uint64), last]))
-                docs += 1
-        if writer is not None:
-            writer.close()
-            stream.close()
+                while row is not None and docs < FILE_DOCS and writer.n_ids < FILE_IDS:
+                    writer.add(row[0], np.concatenate([np.frombuffer(row[1], "<u4").astype(np.uint64), last]))
+                    docs, row = docs + 1, next(rows, None)
+                writer.close()
+            number += 1
             yield pa.RecordBatch.from_pydict({"file": [name], "docs": [docs], "ids": [writer.n_ids]})
 
-    ordered = df.select(F.col(id_col).cast("long"), text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    files = ordered.mapInArrow(run, "file string, docs long, ids long").collect()  # a row for each file
+    docs = df.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = [F.col("key"), F.substring("text", 1, PREFIX)]
+    tasks = -(-n_bytes // TASK_BYTES)
+    # Below the session's number of partitions, adaptive execution finds the number of tasks.
+    dealt = docs.repartitionByRange(tasks, *ranges) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else docs.repartitionByRange(*ranges)
+    files = dealt.sortWithinPartitions("key", "text").mapInArrow(run, "file string, docs long, ids long").collect()  # a row for each file
     return sorted((r.file, r.docs, r.ids) for r in files)
 
 

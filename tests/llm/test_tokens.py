@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lodequery.llm import byte_bpe, packing, queries, simple8b
 from lodequery.llm.queries import TOKENIZERS
+from lodequery.llm.shared import new_folder
 from lodequery.llm.token_ids import token_ids
 from tests.conftest import SF
 
@@ -140,6 +141,21 @@ def test_file_has_random_access(tmp_path):
         assert (reader.ids(65000, 80000) == flat[65000:145000]).all() and len(reader.ids(7, 0)) == 0
 
 
+def test_footer_is_listed_in_chunks(tmp_path, monkeypatch):
+    monkeypatch.setattr(simple8b, "FOOTER_DOCS", 4)
+    docs = [(None if k < 5 else k, np.arange(k % 3, dtype=np.uint64)) for k in range(50)]
+    with open(tmp_path / "f", "wb") as f:
+        w = simple8b.Writer(f)
+        for k, ids in docs:
+            w.add(k, ids)
+            assert len(w._keys) < 4
+        w.close()
+    with open(tmp_path / "f", "rb") as f:
+        got = list(simple8b.Reader(f).documents())
+    starts = np.cumsum([0, *(len(i) for _, i in docs)])
+    assert [(k, at, i.tolist()) for k, at, i in got] == [(k, at, i.tolist()) for (k, i), at in zip(docs, starts.tolist())]
+
+
 def test_cut_short_file_is_refused(tmp_path):
     (tmp_path / "f").write_bytes(b"x" * 40)
     with open(tmp_path / "f", "rb") as f, pytest.raises(ValueError):
@@ -167,6 +183,27 @@ def test_op10_cases(spark, cases):
     assert simple8b.round_trip(cases.limit(0), "doc_id", "text", WORDS, "word", 1).collect() == []
 
 
+def test_files_end_after_so_many_documents_or_ids(spark, cases, monkeypatch):
+    monkeypatch.setattr(simple8b, "FILE_DOCS", 3)
+    monkeypatch.setattr(simple8b, "FILE_IDS", 500)
+    rows = [(r.doc_id, r.text) for r in cases.collect()] + [(100 + i, f"some text {i} " * (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = simple8b.write_ids(df, "doc_id", "text", WORDS, "word", 1, new_folder(spark, "t"))
+    assert sum(n for _, n, _ in files) == len(rows) and max(n for _, n, _ in files) == 3 and len(files) > 20
+    got = [tuple(r) for r in simple8b.round_trip(df, "doc_id", "text", WORDS, "word", 1).orderBy("start").collect()]
+    assert got == expected_ids(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), WORDS, 1)
+
+
+def test_rows_of_one_key_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simple8b, "TASK_BYTES", 2000)
+    rows = [(None, f"{i * 7919 % 1000:03d} one of many") for i in range(1000)] + [(None, None)] * 30 + [(4, "last"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = simple8b.write_ids(df, "doc_id", "text", WORDS, "word", 1, new_folder(spark, "t"))
+    assert len(files) >= 5 and max(n for _, n, _ in files) < 500
+    got = [tuple(r) for r in simple8b.round_trip(df, "doc_id", "text", WORDS, "word", 1).orderBy("start").collect()]
+    assert got == expected_ids(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), WORDS, 1)
+
+
 @given(st.lists(st.integers(1, 50), max_size=300), st.integers(1, 9))
 @settings(max_examples=150, deadline=None)
 def test_best_fit_takes_the_fullest_bin_that_fits(lengths, most):
