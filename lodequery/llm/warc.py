@@ -10,8 +10,9 @@ tasks merge FAN_IN of them at a time into longer runs. The last merge is dealt t
 that the last FAN_IN runs sample at even distances; a task reads only the row groups that reach into its range. The parts, one after the other, are the
 captures in the order of URL key and timestamp. Memory is FAN_IN row groups, whatever the number of captures; the driver holds a few keys and a name for each PART_ROWS captures.
 
-Reading follows the merged index: entries are taken BATCH_BYTES of records at a time, in the order of their places in the archives, and neighbouring
-places (less than GAP apart) are one read. The digest of each payload read is held against its record's.
+Reading goes through the archives, not through the index: its entries are dealt to tasks by ranges of (archive, place) of TASK_BYTES of records or so, and neighbouring
+places (less than GAP apart) are one read of READ_BYTES at most, so each archive is read once, from its beginning to its end, whatever the order of the histories. What was read then
+goes back to the part and the place that it has in the index. The digest of each payload read is held against its record's.
 
 Files are written under names of their own, and only those named by tasks that ended well are used.
 
@@ -39,8 +40,8 @@ from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each,
 LEAST_REVISIT, RUN_ROWS, FAN_IN, GROUP_ROWS, SAMPLED = 100, 200_000, 64, 4096, 32
 #: Captures of a part of the index, at most about; a part's bounds are sampled eight times as finely.
 PART_ROWS = 1_000_000
-#: Bytes of records that are read from archives at a time, those of one read, and those between two places that one read takes along.
-BATCH_BYTES, READ_BYTES, GAP = 1 << 24, 1 << 22, 1 << 16
+#: Bytes of records that a task reads from archives in all and at a time, those of one read, and those between two places that one read takes along.
+TASK_BYTES, BATCH_BYTES, READ_BYTES, GAP = 1 << 27, 1 << 24, 1 << 22, 1 << 16
 EPOCH = datetime(2024, 1, 1)
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:captures")
 #: Fixed value: the profile of revisits with an identical payload.
@@ -277,6 +278,9 @@ _CAPTURE = pa.schema([
     ("url_key", pa.string()), ("timestamp", pa.string()), ("payload", pa.binary()),
 ])
 _CAPTURE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string"
+#: Where an entry stands among all: the number of its part, and its place there.
+_PLACE = (("part", pa.int32()), ("place", pa.int64()))
+_PLACE_SQL = ", part int, place long"
 
 
 def _capture(e: tuple, member: bytes, with_payload: bool) -> tuple:
@@ -304,19 +308,36 @@ def spans(places: Iterable[tuple[str, int, int, int]]) -> Iterator[tuple[str, in
         yield file, low, high, numbers
 
 
-def read_archives(spark: SparkSession, folder: str, index: list[str], with_payload: bool = False) -> DataFrame:
-    """Captures in the order of the index, a task for each of its parts; with the payloads of responses if asked for."""
-    out = _CAPTURE if with_payload else _CAPTURE.remove(7)
+def entries_by_archive(spark: SparkSession, folder: str, index: list[str]) -> DataFrame:
+    """The index's entries with ``part`` and ``place``, dealt by ranges of (file, offset) and in that order, for tasks that read TASK_BYTES of records or so."""
+    out = pa.schema([*ENTRY, *_PLACE])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            at = 0
+            with fs.open_input_file(f"{path}/{index[i]}") as f:
+                for b in pq.ParquetFile(f).iter_batches(GROUP_ROWS):
+                    n = b.num_rows
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([i] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], schema=out)
+                    at += n
+
+    entries = one_task_each(spark, index).mapInArrow(listed, "url_key string, timestamp string, page_id long, file string, offset long, length long" + _PLACE_SQL)
+    n_bytes = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    return entries.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+
+
+def read_archives(spark: SparkSession, folder: str, index: list[str], with_payload: bool = False, in_order: bool = True) -> DataFrame:
+    """Captures, with the payloads of responses if asked for; a partition for each part of the index and in its order, or, if not ``in_order``, as they stand in the archives."""
+    out = pa.schema([*(_CAPTURE if with_payload else _CAPTURE.remove(7)), *_PLACE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archives = _Archives(folder)
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                yield from batched(captures(archives, index[i]), out)
+        yield from batched(captures(_Archives(folder), (e for b in batches for e in zip(*(c.to_pylist() for c in b.columns), strict=True))), out)
 
-    def captures(archives: _Archives, name: str) -> Iterator[tuple]:
+    def captures(archives: _Archives, entries: Iterator[tuple]) -> Iterator[tuple]:
         held, size = [], 0
-        for e in _entries(folder, name):
+        for e in entries:
             held.append(e)
             size += e[5]
             if size >= BATCH_BYTES:
@@ -324,21 +345,22 @@ def read_archives(spark: SparkSession, folder: str, index: list[str], with_paylo
                 held, size = [], 0
         yield from fetched(archives, held)
 
-    def fetched(archives: _Archives, held: list[tuple]) -> list[tuple]:
-        found = [()] * len(held)
-        for file, low, high, places in spans((*held[i][3:6], i) for i in sorted(range(len(held)), key=lambda i: held[i][3:5])):
+    def fetched(archives: _Archives, held: list[tuple]) -> Iterator[tuple]:
+        for file, low, high, places in spans((*e[3:6], i) for i, e in enumerate(held)):
             block = archives.read(file, low, high - low)
             for i in places:
                 at = held[i][4] - low
-                found[i] = _capture(held[i], block[at : at + held[i][5]], with_payload)
-        return found
+                yield *_capture(held[i], block[at : at + held[i][5]], with_payload), *held[i][6:]
 
-    return one_task_each(spark, index).mapInArrow(run, _CAPTURE_SQL + (", payload binary" if with_payload else ""))
+    got = entries_by_archive(spark, folder, index).mapInArrow(run, _CAPTURE_SQL + (", payload binary" if with_payload else "") + _PLACE_SQL)
+    if in_order and index:
+        got = got.repartitionById(len(index), F.col("part")).sortWithinPartitions("place")
+    return got.drop("part", "place")
 
 
-def archive(df: DataFrame, id_col: str, url_col: str, html_col: str, time_col: str | None = None, with_payload: bool = False, fan_in: int = FAN_IN) -> DataFrame:
-    """Write all captures, merge their index and read them back by it."""
+def archive(df: DataFrame, id_col: str, url_col: str, html_col: str, time_col: str | None = None, with_payload: bool = False, fan_in: int = FAN_IN, in_order: bool = True) -> DataFrame:
+    """Write all captures, merge their index and read them back, in its order unless told otherwise."""
     spark = df.sparkSession
     folder = new_folder(spark, "captures")
     runs = write_archives(df, id_col, url_col, html_col, folder, time_col)
-    return read_archives(spark, folder, merge_runs(spark, folder, runs, fan_in=fan_in), with_payload)
+    return read_archives(spark, folder, merge_runs(spark, folder, runs, fan_in=fan_in), with_payload, in_order)

@@ -106,6 +106,25 @@ def test_parts_follow_the_captures_and_the_driver_gets_few_runs(spark, monkeypat
     assert len(got) == 1000 and got == sorted(got)
 
 
+def test_each_archive_is_read_once_in_its_order(spark, monkeypatch):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, f"http://h{i * 7919 % 3000}.org/", "".join(r.choices("abcdefgh <>", k=3000))) for i in range(3000)], "page_id long, url string, html string").repartition(3)
+    folder = new_folder(spark, "t")
+    index = warc.merge_runs(spark, folder, warc.write_archives(df, "page_id", "url", "html", folder))
+    fs, path = filesystem(folder)
+    held = sum(f.size for f in fs.get_file_info(warc.pa.fs.FileSelector(path)) if f.path.endswith(".warc.gz"))
+    monkeypatch.setattr(warc, "READ_BYTES", held // 50)
+    monkeypatch.setattr(warc, "TASK_BYTES", held // 10)
+    dealt = warc.entries_by_archive(spark, folder, index)
+    tasks = dealt.rdd.mapPartitions(lambda rows: [[(x.file, x.offset, x.length) for x in rows]]).filter(len).collect()
+    assert len(tasks) >= 8 and all(t == sorted(t) for t in tasks)
+    reads = [s for t in tasks for s in warc.spans((*p, i) for i, p in enumerate(t))]
+    assert sum(high - low for _, low, high, _ in reads) == held and len(reads) <= 50 + 3 + 2 * len(tasks)
+    got = [(r.url_key, r.timestamp, r.page_id) for r in warc.read_archives(spark, folder, index).collect()]
+    assert got == sorted(got) and len(got) == 3000
+    assert sorted((r.url_key, r.timestamp, r.page_id) for r in warc.read_archives(spark, folder, index, in_order=False).collect()) == got
+
+
 def test_a_damaged_record_is_refused():
     good = warc.record(1, "http://a", "20240101000000", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
     assert warc.parse(good)[2] == b"x" * 200
