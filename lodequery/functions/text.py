@@ -28,6 +28,12 @@ def millis_id(prefix: str, at: Column) -> Column:
     return make_id(prefix, F.floor(since * 1000).cast("long"))
 
 
+def json_fields(col: Column, schema: str, bad: str = "_bad") -> Column:
+    """The fields that a DDL string names, from text that holds a JSON object. Fields that are absent or of another type are null, others aren't read.
+    Where the text isn't JSON, all are null and ``bad`` holds the text; a field of another type leaves the text there, too. Null stays null."""
+    return F.from_json(col, f"{schema}, {bad} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+
+
 def or_false(predicate: Column) -> Column:
     """A predicate that can't be decided (null) counts as false."""
     return F.coalesce(predicate, F.lit(False))
