@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lodequery.functions.text import json_fields
 from lodequery.operators.time_joins import as_of_join, interval_join, subtotals, trailing
-from lodequery.sources.tables import load_table
+from lodequery.sources.tables import load_table, stream_table
+from lodequery.streaming.windows import drained, event_windows
 
 def _cents(name: str) -> Column:
     """Sums of whole cents don't depend on the order of the rows."""
@@ -55,7 +56,13 @@ def props_counts(spark: SparkSession, d: str) -> DataFrame:
     return events.filter("p.k >= 90").groupBy(F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-QUERIES = {f.__name__: f for f in (previous_event, purchase_of_two_days, purchases_after_error, week_sums, order_subtotals, props_counts)}
+def stream_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and kind, read as a stream to its end; hours that a row up to ten minutes late could still change aren't given."""
+    made = event_windows(stream_table(spark, d, "events"), "ts", timedelta(hours=1), timedelta(minutes=10), ["event_type"], {"n_events": F.count(F.lit(1)), "cents": F.sum(_cents("value"))})
+    return drained(made, "hours")[0]
+
+
+QUERIES = {f.__name__: f for f in (previous_event, purchase_of_two_days, purchases_after_error, week_sums, order_subtotals, props_counts, stream_hours)}
 
 ORACLE = {
     "previous_event": "SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous_id FROM events",
@@ -67,5 +74,8 @@ ORACLE = {
         WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)""",
     "order_subtotals": """SELECT o_orderstatus, o_orderpriority, (2 - grouping(o_orderstatus) - grouping(o_orderpriority))::INTEGER AS level, count(*) AS n_orders, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents
         FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""",
+    "stream_hours": """SELECT "start", "start" + INTERVAL 1 HOUR AS "end", event_type, n_events, cents FROM (
+        SELECT date_trunc('hour', ts)::TIMESTAMP AS "start", event_type, count(*) AS n_events, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2)
+        WHERE "start" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
     "props_counts": "SELECT k, count(*) AS n_events FROM (SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k >= 90 GROUP BY k",
 }

@@ -29,6 +29,13 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, one or a folder of them; those that come later are taken, too, if it is a folder."""
+    schema = load_table(spark, sf_dir, name).schema
+    # Only a pattern may stand for a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
 def append_row(df: DataFrame, row: Mapping[str, object]) -> DataFrame:
     """``df`` with one more row, as a plan (nothing is written). Fields left out are null; unknown fields raise ValueError."""
     if unknown := set(row) - set(df.columns):
