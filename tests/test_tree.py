@@ -54,6 +54,8 @@ def tree(html):
         ("<ul><li><em>a<li>b</em></ul>", [("ul", "ab", []), ("li", "a", []), ("em", "a", ["a"]), ("li", "b", []), ("em", "b", ["b"])]),
         ("<p><b><b><b><b>x<p>y", [("p", "x", []), *[("b", "x", [])] * 3, ("b", "x", ["x"]), ("p", "y", []), *[("b", "y", [])] * 2, ("b", "y", ["y"])]),
         ("a</b>b</i>", []),
+        ("<h1>a &amp;&amp</h1>", [("h1", "a &&amp", ["a &&amp"])]),
+        ("<p>&copy; &copy &#65;&#x42; &#65 &ampx; &nosuch; &amp;copy; &", [("p", "© &copy AB &#65 &ampx; &nosuch; &copy; &", ["© &copy AB &#65 &ampx; &nosuch; &copy; &"])]),
         ("<title>a<b>&amp;</title><script>x</b>&amp;</script><p>c", [("title", "a<b>&", ["a<b>&"]), ("script", "x</b>&amp;", ["x</b>&amp;"]), ("p", "c", ["c"])]),
         ("<p>a<!-- <p> -->b<!--> c<p", [("p", "ab c", ["a", "b", " c"])]),
         ("<p>a<p title='unfinished>b", [("p", "a", ["a"])]),
@@ -75,6 +77,7 @@ def test_elements_as_a_browser_builds_them(html, expected):
         ("<p title=it's class='a \"b\"' x = 1 y=\"a>b\" z>t", {"title": "it's", "class": 'a "b"', "x": "1", "y": "a>b", "z": ""}),
         ("<p A=1 a=2/>t", {"a": "1"}),
         ("<p a=&quot;x&quot; b='&amp;'>t", {"a": '"x"', "b": "&"}),
+        ("<p a='?x=1&copy=2&amp;y'>t", {"a": "?x=1&copy=2&y"}),
         ("<p/a/b=/c>t", {"a": "", "b": "/c"}),
     ],
 )
