@@ -161,6 +161,16 @@ def test_elements_that_close_by_themselves(html, selector, expected):
     assert [t for _, _, t in selector.select(html)] == expected
 
 
+@pytest.mark.parametrize("name, n", [("html_by_tag", 2), ("html_text_contains", 2), ("html_locators", 3)])
+def test_cut_references_and_paragraphs_in_open_formatting(spark, tmp_path, name, n):
+    page = '<html><body><div class="ad">x</div><article><h1>{0}</h1><p><b>{0}<br><p>nation &amp; on</p><p>none<p><i>action</i></p></article><footer>y</footer></body></html>'
+    pages = [(1, page.format("Station &amp;&amp")), (2, page.format("A &copy;&quot"))]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = plans.QUERIES[name](spark, str(tmp_path))
+    assert_same(found, plans.ORACLE[name], str(tmp_path))
+    assert found.filter("text like '%amp' or text like '%quot' or text = 'nation & on'").count() == n
+
+
 @pytest.mark.parametrize("unit", ["<p>word ", "<li>word ", "<div>", "<div></span>", "<button><p>", "<b>x", "<table><tr><td>x"])
 def test_time_is_linear_in_the_page(unit):
     started = time.perf_counter()
