@@ -9,16 +9,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from lodequery.sources.scratch import scratch_folder as new_folder
-
-#: Rows of a batch sent to Python: bounds a worker's memory where texts are long.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+from lodequery.sources.tables import BATCH_ROWS, small_batches  # noqa: F401
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -1,8 +1,10 @@
 import time
 
+import pyarrow as pa
 import pytest
 
 from lodequery.operators import Page, Selector, has_elements, select_many
+from lodequery.operators.tree import OUT_CHARS, OUT_ROWS, rows_found
 
 #: Locators as they are written, and what they stand for.
 LOCATORS = {
@@ -121,3 +123,22 @@ def test_text_right_behind_a_start_tag():
     html = "<p><b>tion a<br><p>tion b</p><p>c <i>tion</i><p><!-- x -->tion<p>d tion"
     assert Selector(tag="p", lead_has="tion").select(html) == [(1, "p", "tion b"), (2, "p", "d tion")]
     assert Selector(tag="p", text_has="tion").select(html) == []
+
+
+@pytest.mark.parametrize("word, n", [("a", 3 * OUT_ROWS), ("word " * 20_000, 200)])
+def test_matches_go_out_in_bounded_batches(word, n):
+    pages = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"<p>{word}" * n, None])], ["k", "h"])
+    out = list(rows_found(iter([pages]), {"x": Selector(tag="p")}, ["k", "locator", "position", "tag", "text"]))
+    assert all(b.num_rows <= OUT_ROWS and sum(map(len, b.column(4).to_pylist())) < OUT_CHARS + len(word) for b in out)
+    assert [x for b in out for x in b.column(2).to_pylist()] == list(range(1, n + 1))
+
+
+def test_pages_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        select_many(spark.createDataFrame([(1, "<p>a")], "k long, h string"), "k", "h", {"x": Selector(tag="p")})
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
