@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from lodequery.llm.shared import batched, filesystem, new_folder, one_task_each, small_batches, written
 
 LEAST_REVISIT, RUN_ROWS, FAN_IN, GROUP_ROWS, SAMPLED = 100, 200_000, 64, 4096, 32
-#: Captures of a part of the index, at most about; a part's bounds are sampled eight times as finely.
-PART_ROWS = 1_000_000
+#: Captures of a part of the index, at most about; a part's bounds are sampled eight times as finely. Parts of fewer than LEAST_PART are made only for cores that would idle.
+PART_ROWS, LEAST_PART = 1_000_000, 4096
 #: Bytes of records that a task reads from archives in all and at a time, those of one read, and those between two places that one read takes along.
 TASK_BYTES, BATCH_BYTES, READ_BYTES, GAP = 1 << 27, 1 << 24, 1 << 22, 1 << 16
 EPOCH = datetime(2024, 1, 1)
@@ -234,12 +234,13 @@ def _longer(folder: str, runs: DataFrame, count: int, fan_in: int) -> DataFrame:
 
 
 def merge_runs(spark: SparkSession, folder: str, runs: DataFrame, parts: int | None = None, fan_in: int = FAN_IN) -> list[str]:
-    """Names of the index's parts, in order: one for each PART_ROWS captures, and ``parts`` at least (by default the session's shuffle partitions)."""
+    """Names of the index's parts, in order: one for each PART_ROWS captures, and ``parts`` at least (by default the session's shuffle partitions, or fewer where they would have fewer than LEAST_PART captures)."""
     while (count := runs.count()) > fan_in:
         runs = _longer(folder, runs, count, fan_in)
     last = sorted((r.name, r.n, [tuple(k) for k in r["keys"]]) for r in runs.collect())  # fan_in rows at most
     total = sum(n for _, n, _ in last)
-    parts = max(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    few = max(spark.sparkContext.defaultParallelism, -(-total // LEAST_PART))
+    parts = max(parts or min(int(spark.conf.get("spark.sql.shuffle.partitions")), few), -(-total // PART_ROWS))
     sampled = sorted(((*_sort_key((*k, "", 0))[:4],), n / max(1, len(ks))) for _, n, ks in last for k in ks)
     bounds, seen = [], 0.0
     for k, w in sampled:

@@ -106,6 +106,21 @@ def test_parts_follow_the_captures_and_the_driver_gets_few_runs(spark, monkeypat
     assert len(got) == 1000 and got == sorted(got)
 
 
+def test_few_captures_make_few_parts_whatever_the_shuffle_partitions(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i * 7919 % 1000}.org/", f"<p>{i}</p>") for i in range(1000)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "LEAST_PART", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        folder = new_folder(spark, "t")
+        index = warc.merge_runs(spark, folder, warc.write_archives(df, "page_id", "url", "html", folder))
+        got = [(r.url_key, r.timestamp) for r in warc.read_archives(spark, folder, index).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 4 < len(index) <= 10
+    assert len(got) == 1000 and got == sorted(got)
+
+
 def test_each_archive_is_read_once_in_its_order(spark, monkeypatch):
     r = random.Random(5)
     df = spark.createDataFrame([(i, f"http://h{i * 7919 % 3000}.org/", "".join(r.choices("abcdefgh <>", k=3000))) for i in range(3000)], "page_id long, url string, html string").repartition(3)
