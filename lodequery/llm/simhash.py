@@ -133,9 +133,11 @@ def _linked(rows: list[np.ndarray], limits: tuple[int, ...]) -> pa.RecordBatch:
     """A forest of the links within each run of equal groups; rows are in the order of groups."""
     group, node, bits = rows
     parent = np.arange(len(group))
+    starts = _starts(group)
+    times = np.diff(np.r_[starts, len(group)])
     a_out, b_out = [], []
     for limit in limits:
-        here = np.arange(len(group))
+        here = _still_apart(np.arange(len(group)), parent, starts, times)
         shift = 0
         while True:
             shift += 1
@@ -157,9 +159,23 @@ def _linked(rows: list[np.ndarray], limits: tuple[int, ...]) -> pa.RecordBatch:
                     merged = True
             while merged and (parent != parent[parent]).any():
                 parent = parent[parent]
+            if merged:
+                here = _still_apart(here, parent, starts, times)
     return pa.RecordBatch.from_arrays([pa.array(node[a_out] if a_out else [], pa.int64()), pa.array(node[b_out] if b_out else [], pa.int64())], ["a", "b"])
 
 
+def _starts(group: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+
+
+def _still_apart(here: np.ndarray, parent: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Those of the places here whose run has more than one parent: the others have no links to find."""
+    if not len(here):
+        return here
+    return here[np.repeat(np.minimum.reduceat(parent, starts) != np.maximum.reduceat(parent, starts), times)[here]]
+
+
 def _root(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         x = parent[x]
@@ -287,7 +303,7 @@ def _pairs(prefixes: DataFrame, part: DataFrame, limit: Fraction) -> DataFrame:
 
     def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         shingle, node, component, size = rows
-        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else np.zeros(0, np.int64)
+        starts = _starts(shingle)
         times = np.diff(np.r_[starts, len(shingle)])
         crowded = np.repeat(times > CROWD, times)
         if crowded.any():
@@ -348,13 +364,9 @@ def _crowded(crowds: DataFrame, prefixes: DataFrame, limit: Fraction) -> DataFra
 
     def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         group, node, component, side, size, bits = rows
-        here, shift, held = np.arange(len(node)), 0, [np.zeros((0, 2), np.int64)]
-        while len(here):
-            shift += 1
-            here = here[here + shift < len(node)]
-            here = here[(group[here] == group[here + shift]) & (q * size[here] >= p * size[here + shift])]
-            x, y = here, here + shift
-            apart = (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] == 2))
+        held = [np.zeros((0, 2), np.int64)]
+        for x, y in _across(group, component, size, limit):
+            apart = (side[x] != side[y]) | (side[x] == 2)
             x, y = x[apart], y[apart]
             near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * (size[x] + size[y])
             x, y = x[near], y[near]
@@ -362,11 +374,44 @@ def _crowded(crowds: DataFrame, prefixes: DataFrame, limit: Fraction) -> DataFra
         ab = np.unique(np.concatenate(held), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ab.T], ["a", "b"])
 
-    rows = dealt_crowds(crowds, CHUNK).join(prefixes.select("node", "size", "parity"), "node")
+    # A crowd of one component has no such pairs.
+    mixed = crowds.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("shingle")
+    rows = dealt_crowds(crowds.join(mixed, "shingle", "left_semi"), CHUNK).join(prefixes.select("node", "size", "parity"), "node")
     together = rows.repartition("group").sortWithinPartitions("group", "size", "node").select("group", "node", "component", "side", "size", "parity")
     return together.mapInArrow(_by_group(met), "a long, b long")
 
 
+def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, limit: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of the pairs of one group and different components whose sizes allow for this similarity, each once; rows are in the order of group and size.
+
+    Where one component has half of a group or more, only pairs with members of the others are looked at: copies that are joined cost no square of their number.
+    """
+    p, q = limit.numerator, limit.denominator
+    starts, mixed = _starts(group), np.zeros(len(group), bool)
+    for a, b in zip(starts.tolist(), np.r_[starts, len(group)][1:].tolist(), strict=True):
+        _, of, times = np.unique(component[a:b], return_inverse=True, return_counts=True)
+        if len(times) < 2:
+            continue
+        largest = of == times.argmax()
+        few = np.flatnonzero(~largest)
+        if 2 * len(few) > b - a:
+            mixed[a:b] = True
+            continue
+        sizes = size[a:b]
+        low, high = np.searchsorted(sizes, -(-p * sizes[few] // q)), np.searchsorted(sizes, q * sizes[few] // p, "right")
+        for i, lo, hi in zip(few.tolist(), low.tolist(), high.tolist(), strict=True):
+            j = np.arange(lo, hi)
+            j = j[(of[lo:hi] != of[i]) & (largest[lo:hi] | (j > i))]
+            yield a + np.minimum(i, j), a + np.maximum(i, j)
+    here, shift = np.flatnonzero(mixed), 0
+    while len(here):
+        shift += 1
+        here = here[here + shift < len(group)]
+        here = here[(group[here] == group[here + shift]) & (q * size[here] >= p * size[here + shift])]
+        apart = component[here] != component[here + shift]
+        yield here[apart], here[apart] + shift
+
+
 def _by_group(each):
     """Runs ``each`` over columns of rows, as arrays, that hold all rows of each value of the first column, which is sorted."""
 

@@ -117,3 +117,45 @@ def test_columns_named_as_those_within(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 2, "x", 3), (2, "a b c d e f", 2, "y", 4)], "doc_id long, text string, _uid long, _lane0 string, c0 long")
     got = simhash.drop_near_copies(df, "doc_id", "text")
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 2, "x", 3)]
+
+
+def test_pairs_across_components_leave_out_joined_copies():
+    r = np.random.default_rng(8)
+    group = np.repeat(np.arange(40), r.integers(1, 60, 40))
+    # From groups of one component to groups in which all differ.
+    component = r.integers(0, 10**6, len(group)) * (r.random(len(group)) < group / 39)
+    size = r.integers(0, 30, len(group))
+    order = np.lexsort((size, group))
+    component, size = component[order], size[order]
+    got = [(int(a), int(b)) for x, y in simhash._across(group, component, size, Fraction(4, 5)) for a, b in zip(x, y, strict=True)]
+    want = [(a, b) for a, b in combinations(range(len(group)), 2) if group[a] == group[b] and component[a] != component[b] and 5 * size[a] >= 4 * size[b]]
+    assert want and sorted(got) == want
+    assert not list(simhash._across(group[:0], component[:0], size[:0], Fraction(4, 5)))
+    # 20,000 joined copies and one other: a few rounds, not one for each of the copies.
+    component = np.zeros(20_000, np.int64)
+    component[700] = 1
+    rounds = list(simhash._across(np.zeros(20_000, np.int64), component, np.full(20_000, 9), Fraction(4, 5)))
+    assert len(rounds) < 5 and sum(len(x) for x, _ in rounds) == 19_999
+
+
+def test_crowds_of_one_component_are_not_dealt(spark, monkeypatch):
+    dealt, deal = [], simhash.dealt_crowds
+    monkeypatch.setattr(simhash, "dealt_crowds", lambda crowds, chunk: dealt.append(crowds.count()) or deal(crowds, chunk))
+    prefixes = spark.range(100).selectExpr("id AS node", "10L AS size", f"unhex(repeat('00', {simhash.BITS // 8})) AS parity")
+    crowds = spark.range(200).selectExpr("id % 100 AS node", "id DIV 100 AS shingle", "CASE WHEN id = 150 THEN 50L ELSE 0L END AS component")
+    got = sorted(map(tuple, simhash._crowded(crowds, prefixes, Fraction(4, 5)).collect()))
+    assert dealt == [100]
+    assert got == sorted((min(50, n), max(50, n)) for n in range(100) if n != 50)
+
+
+def test_links_of_a_joined_group_end_early(monkeypatch):
+    """The same links as without leaving out what is joined, in fewer rounds."""
+    rows = np.repeat([1, 2], [300, 40]), np.arange(340), np.r_[np.zeros(300), np.arange(40)].astype(np.uint64).reshape(-1, 1)
+    looked_at, left = [], simhash._still_apart
+    monkeypatch.setattr(simhash, "_still_apart", lambda here, *a: looked_at.append(len(here)) or left(here, *a))
+    got = simhash._linked(rows, (0, 1, 2)).to_pylist()
+    monkeypatch.setattr(simhash, "_still_apart", lambda here, *a: here)
+    assert got == simhash._linked(rows, (0, 1, 2)).to_pylist() and len(got) >= 299
+    here = np.arange(5)
+    assert left(here, np.array([0, 0, 2, 2, 4]), np.array([0, 2]), np.array([2, 3])).tolist() == [2, 3, 4]
+    assert looked_at
